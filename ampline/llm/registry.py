@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from ampline.llm import exact_dedup, token_files
+from ampline.llm import chat_format, exact_dedup, language, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op3_chat_format": chat_format.op3_chat_format,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_language_id": language.op8_language_id,
     "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {
+    "op3_chat_format": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
