@@ -228,10 +228,10 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakC
     sc = docs.sparkSession.sparkContext
     out = docs.drop("leaked_items").withColumn("leaked_items", F.array().cast("array<long>"))
     names = out.columns
-    plain = out.withColumn("text", F.col("text").cast("string")).withColumn("text_is_null", F.col("text").isNull())
+    plain = out.withColumn("text", F.col("text").cast("string")).withColumn("ampline_text_is_null", F.col("text").isNull())
     for index in indexes(benchmark, config):
         plain = plain.mapInArrow(_flag(sc.broadcast(index)), plain.schema)
-    return plain.withColumn("text", F.when(~F.col("text_is_null"), F.col("text"))).select(*names)
+    return plain.withColumn("text", F.when(~F.col("ampline_text_is_null"), F.col("text"))).select(*names)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ampline.llm.chains import hashed_grams, viterbi
 from ampline.llm.common import fold, slices, sums_between, table, words_of
@@ -178,7 +179,6 @@ def _predict(model) -> Callable:
     def run(batches):
         m: LanguageModel | None = model.value
         for batch in slices(batches, "text", m.config.slice_bytes if m else 1 << 22):
-            rest = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "text"]
             if m is None:
                 pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             else:
@@ -189,19 +189,30 @@ def _predict(model) -> Callable:
                 top = votes.argmax(1)
                 score = np.where(known, votes.max(1) / np.maximum(total, 1), 0.0)
                 pred = [m.langs[k] if ok else "und" for k, ok in zip(top.tolist(), known.tolist(), strict=True)]
-            yield pa.record_batch([*rest, pa.array(pred, pa.string()), pa.array(score)], names=[*(f.name for f in batch.schema if f.name != "text"), "lang_pred", "score"])
+            made = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)}
+            yield pa.record_batch([*batch.columns, *made.values()], names=[*batch.schema.names, *made])
 
     return run
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score (the share of its words with letters that are in lang_pred).
+def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """``docs`` with lang_pred and score (the share of the words with letters that are in lang_pred).
 
     ``und`` with score 0 where text is null or has no letter, or no row could be learned from. Ties go to the language
-    first in order. An empty table gives no rows; null ids and repeated rows give a row each; further columns are ignored.
+    first in order. An empty table gives no rows; null ids and repeated rows stay as they are; columns of docs that are
+    called lang_pred or score are replaced.
     """
+    rows = docs.drop("lang_pred", "score")
+    given = rows.withColumn("text", F.col("text").cast("string")).withColumn("ampline_text_is_null", F.col("text").isNull())
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
+    schema = StructType(list(given.schema.fields)).add("lang_pred", "string").add("score", "double")
+    out = given.mapInArrow(_predict(shared), schema)
+    return out.withColumn("text", F.when(~F.col("ampline_text_is_null"), F.col("text"))).select(*rows.columns, "lang_pred", "score")
+
+
+def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """One row per input row: doc_id, lang_pred, score, as by with_language."""
+    return with_language(docs.selectExpr("cast(doc_id as long) doc_id", "text"), model).select("doc_id", "lang_pred", "score")
 
 
 def learn_rows(docs: DataFrame) -> DataFrame:
