@@ -1,0 +1 @@
+"""Appliance-switch events from electrical load signals, on Spark."""
