@@ -80,19 +80,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
-def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """ASCII-white-space words of each text: (offsets of each text's words, code of each word, distinct words)."""
     split = pc.ascii_split_whitespace(text)
     flat = split.flatten().dictionary_encode()
     offsets = split.offsets.to_numpy().astype(np.int64)
     offsets -= offsets[0]
     codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    vocab = flat.dictionary.to_pylist()
-    if "" in vocab:  # before leading and after trailing white space
-        keep = codes != vocab.index("")
+    if (empty := pc.index(flat.dictionary, "").as_py()) >= 0:  # before leading and after trailing white space
+        keep = codes != empty
         offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
         codes = codes[keep]
-    return offsets, codes, vocab
+    return offsets, codes, flat.dictionary
+
+
+def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As split_words, with the distinct words as a list."""
+    offsets, codes, vocab = split_words(text)
+    return offsets, codes, vocab.to_numpy(zero_copy_only=False).tolist()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

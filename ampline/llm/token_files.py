@@ -20,18 +20,23 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ampline.llm.common import fresh_path, n_shuffle, ragged, slices, table, words_of
+from ampline.llm.common import fresh_path, n_shuffle, ragged, slices, split_words, table
 
 END_ID = 2
-#: Distinct words whose ids a task keeps; beyond that it starts afresh, with the same results.
-CACHED_WORDS = 1_000_000
+#: Distinct pieces whose ids a task keeps; beyond that it starts afresh, with the same results.
+CACHED_PIECES = 1_000_000
+#: Bytes of text that are encoded at once.
+ENCODED_BYTES = 16 << 20
 
-#: Words that the tokenizer's normaliser leaves as they are and its splitter cuts only before the punctuation.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([,.;:!?]*)")
+#: Words that the tokenizer's normaliser only lower-cases and its splitter cuts only between letters and marks.
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+#: Pieces that are encoded as one text.
+_JOINED = 4096
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -46,78 +51,108 @@ def _encoder(path: str) -> WordEncoder:
 
 
 class WordEncoder:
-    """Ids of words, each distinct word encoded once.
+    """Ids of words, put together from the ids of pieces; each distinct piece is encoded once.
 
     The tokenizer's normaliser and splitter never look past white space, so a text's ids are its words' ids one
-    after the other. ``plain`` words skip normaliser and splitter, which would not change them.
+    after the other. A plain word is two pieces, its letters in lower case and its marks; any other word is one. Many
+    pieces are encoded as one text: plain ones without normaliser and splitter, told apart by the ids that end a word;
+    others with a special token between them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
-        self.by_word = '"invert": true' in kinds and "\\\\s\\\\p{L}" in kinds
+        suffix = spec["model"].get("end_of_word_suffix")
+        apart = [t for t in spec["added_tokens"] if t["special"] and not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"])]
+        self.by_word = '"invert": true' in kinds and "\\\\s\\\\p{L}" in kinds and bool(suffix) and bool(apart)
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = (x for x in range(256) if x not in set(printable))
-        self.letters = {x: chr(x) for x in printable} | {x: chr(256 + i) for i, x in enumerate(other)}
+        if self.by_word:
+            self.between, self.specials = apart[-1], [t["content"] for t in spec["added_tokens"]]
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.ids: list[np.ndarray] = []
+        self.place = {"": 0}
         self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-
-    def part(self, word: str) -> list[int]:
-        if (got := self.parts.get(word)) is None:
-            seen = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            got = self.parts[word] = [t.id for t in self.model.tokenize(seen)]
-        return got
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.place) > CACHED_WORDS:
+        self.starts = np.zeros(1, np.int64)
+        self.lengths = np.zeros(1, np.int64)
+
+    def _joined(self, tokenizer, words: list[str], between: str) -> np.ndarray:
+        texts = [between.join(words[k : k + _JOINED]) + between for k in range(0, len(words), _JOINED)]
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+
+    def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._joined(self.bare, pieces, " ")
+        ends = np.flatnonzero(self.last[ids])
+        assert len(ends) == len(pieces)
+        return ids, np.diff(ends, prepend=-1)
+
+    def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        alone = {k for k, w in enumerate(words) if any(x in w for x in self.specials)}
+        ids = self._joined(self.tokenizer, ["" if k in alone else w for k, w in enumerate(words)], self.between["content"])
+        marks = np.flatnonzero(ids == self.between["id"])
+        assert len(marks) == len(words)
+        lengths = np.diff(marks, prepend=-1) - 1
+        parts = np.split(np.delete(ids, marks), np.cumsum(lengths)[:-1]) if words else []
+        for k in alone:
+            parts[k] = np.array(self.tokenizer.encode(words[k], add_special_tokens=False).ids, np.uint32)
+            lengths[k] = len(parts[k])
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), lengths
+
+    def _places(self, pieces: pa.Array, encode: Callable) -> np.ndarray:
+        """The place of each piece; new ones are encoded. The empty piece is at place 0."""
+        coded = pieces.dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [x for x in known if x not in self.place]
+        if new:
+            n = len(self.place)
+            self.place.update(zip(new, range(n, n + len(new)), strict=True))
+            ids, lengths = encode(new)
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+            self.lengths = np.concatenate((self.lengths, lengths))
+            self.flat = np.concatenate((self.flat, ids))
+        at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
+        return at[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int64)
+
+    def words(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words, one word after the other; where each word's ids start; how many they are)"""
+        if len(self.place) > CACHED_PIECES:
             self.clear()
-        new = [w for w in words if w not in self.place]
-        found: list[list[int] | None] = []
-        odd = []
-        for w in new:
-            if m := _PLAIN.fullmatch(w):
-                found.append(self.part(m[1]) + (self.part(m[2]) if m[2] else []))
-            else:
-                odd.append(w)
-                found.append(None)
-        rest = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
-        lists = [next(rest).ids if x is None else x for x in found]
-        n = len(self.place)
-        self.place.update((w, n + i) for i, w in enumerate(new))
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))))
+        cut = pc.extract_regex(vocab, _PLAIN)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        pieces = np.zeros((len(vocab), 2), np.int64)
+        some = cut.drop_null()
+        pieces[plain, 0] = self._places(pc.utf8_lower(pc.struct_field(some, "letters")), self._plain)
+        pieces[plain, 1] = self._places(pc.struct_field(some, "marks"), self._plain)
+        pieces[~plain, 0] = self._places(vocab.filter(pa.array(~plain)), self._other)
+        sizes = self.lengths[pieces]
+        flat = self.flat[ragged(self.starts[pieces.ravel()], sizes.ravel())]
+        lengths = sizes.sum(1)
+        return flat, np.cumsum(lengths) - lengths, lengths
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each ended by end_id; number of ids of each text)"""
         if not self.by_word:
             lists = [[*x.ids, end_id] for x in self.tokenizer.encode_batch_fast(text.to_pylist(), add_special_tokens=False)]
             return np.fromiter((i for x in lists for i in x), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
-        offsets, codes, vocab = words_of(text)
-        self.learn(vocab)
-        at = np.fromiter(map(self.place.__getitem__, vocab), np.int64, len(vocab))[codes] if len(vocab) else codes
-        sizes = self.lengths[at]
+        offsets, codes, vocab = split_words(text)
+        flat, starts, lengths = self.words(vocab)
+        sizes = lengths[codes]
         ends = np.concatenate(([0], np.cumsum(sizes)))[offsets[1:]]
         counts = np.diff(ends, prepend=0) + 1
         out = np.full(int(counts.sum()), end_id, np.uint32)
         body = np.ones(len(out), bool)
         body[np.cumsum(counts) - 1] = False
-        out[body] = self.flat[ragged(self.starts[at], sizes)]
+        out[body] = flat[ragged(starts[codes], sizes)]
         return out, counts
 
 
@@ -131,7 +166,7 @@ def _write(root: str, tokenizer: str, end_id: int) -> Callable:
         fs, at = pafs.FileSystem.from_uri(root)
         counts, ids, nulls = [], [], []
         with fs.open_output_stream(f"{at}/{name}.ids") as out:
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", ENCODED_BYTES):
                 flat, n = encoder.encode(batch.column("text"), end_id)
                 out.write(flat.astype(kind).tobytes())
                 doc = batch.column("doc_id")
