@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,16 @@ class Stored:
         remove(self.spark, self.path)
 
 
+class Kept:
+    """A small table kept on the executors' disks; what a lost executor held is made again from the plan above it."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df.persist(StorageLevel.DISK_ONLY)
+
+    def drop(self) -> None:
+        self.df.unpersist()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -4,15 +4,19 @@ Documents with the same shingle set form a class, and only classes are joined.
 
 1. One pass over the texts gives each row's set size and class, and a count sketch of shingles. The sketch is of fixed
    size and only sets the order of shingles (rare first); any order gives right results.
-2. Two sets that link share a shingle among the first ``n - ceil(t * n) + 1`` of each. These prefixes are the rows
+2. A set of n may miss ``d = n - ceil(t * n)`` shingles of one that it links with. So two sets that link share at
+   least ``s`` of the first ``d + s`` shingles of each; s is the half of d, and one. These prefixes are the rows
    (shingle, class) of the matrix. Shingles of one class alone fall away.
 3. Similar classes are partitioned into groups: each class goes to the leader that it shares most prefix shingles with.
    A group (in blocks of bounded size) keeps the union of its members' shingles. A class opens a cluster of the
    group only if the union holds enough of its shingles to reach the threshold with any member, and is then compared
    with members until one links.
-4. What links so far is contracted to components, which are the groups of the second round. The matrix now says which
-   classes share a prefix shingle with a group other than their own; these queries are held against the group's union,
-   and qualifying groups are opened. All pairs that can link are either in one component or met here.
+4. What links so far is labelled with its component. In the second round the matrix says which classes share enough
+   prefix shingles with a group other than their own; these queries are held against the group's union, and qualifying
+   groups are opened. A class with the label of a group's leader needn't ask that group if the group's leader and its
+   own have one label: what links them is known, and the group's members with other labels ask in turn. Members of a
+   group of several blocks that aren't linked with its leader ask their own group. So each pair that can link is
+   met, or is in one component already, and a hot shingle meets groups, not pairs of classes.
 
 Work and rows follow the number of classes and groups, not of pairs: copies are one class, and a large family of near
 copies is one group whose members stop at their first link. A group of any size is dealt out in blocks.
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampline.llm.common import Stored, n_shuffle, slices, table, words_of
+from ampline.llm.common import Kept, Stored, n_shuffle, slices, table, words_of
 from ampline.llm.components import connected_components
 
 #: The sketch: 2 ** SKETCH_BITS counters, merged in slabs of SLAB.
@@ -59,9 +63,18 @@ class JaccardConfig:
     def links(self, common: int, a: int, b: int) -> bool:
         return self.den * common >= self.num * (a + b - common)
 
+    def shared(self, n: int) -> int:
+        """Shingles that the prefixes of two sets that link share at least, if neither set has fewer than n shingles."""
+        return 1 + (n - self.least(n)) // 2
+
     def prefix(self, n: int) -> int:
-        """Shingles of a set of n of which a different set that links has at least one; 0 if none can link."""
-        return n - self.least(n) + 1 if self.links(n, n, n + 1) or self.least(n) < n else 0
+        """Length of the prefix of a set of n; 0 if it can't link with a different set."""
+        return n - self.least(n) + self.shared(n) if self.links(n, n, n + 1) or self.least(n) < n else 0
+
+    def needed(self, n: str) -> F.Column:
+        """The column of shared(least(n)): what the prefix of a set of n shares with that of any set that links with it."""
+        least = lambda x: f"(({x}) * {self.num} + {self.den - 1}) div {self.den}"
+        return F.expr(f"1 + ({least(n)} - {least(least(n))}) div 2")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -278,12 +291,14 @@ def _verified(members: DataFrame, queries: DataFrame, shingles: DataFrame, confi
 
 def _shingles_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame, config: JaccardConfig, seed: int) -> Stored:
     """The sets of the classes ``wanted`` (c), from one text of each."""
-    ids = Stored(wanted.join(classes, "c").select(F.col("first_id").alias("id")), "wanted").df
-    few = ids.count() <= BROADCAST_IDS
+    kept = Kept(wanted.join(classes, "c").select(F.col("first_id").alias("id")))
+    ids, few = kept.df, kept.df.count() <= BROADCAST_IDS
     rows = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
     sets = rows.select("text").mapInArrow(_fetch(config, seed), "c long, shingles binary")
     # a repeated doc_id may bring another text along
-    return Stored(sets.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "shingles")
+    out = Stored(sets.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "shingles")
+    kept.drop()
+    return out
 
 
 def _profiles(texts: DataFrame, config: JaccardConfig) -> tuple[DataFrame, DataFrame, int]:
@@ -313,42 +328,59 @@ def similar_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
 
     rare = texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(config, seed, levels), "token long, c long, n long")
     whole = Window.partitionBy("token")
-    led = rare.distinct().withColumn("leader", F.min(F.struct("c", "n")).over(whole)).withColumn("last", F.max("c").over(whole))
-    matrix = Stored(led.where("leader.c <> last").selectExpr("token", "c", "n", "leader.c as leader", "leader.n as leader_n"), "matrix").df
+    # a class comes once from each task at most, so one shuffle serves both the distinct rows and the leaders
+    distinct = rare.repartition(n_shuffle(spark), "token").dropDuplicates(["token", "c", "n"])
+    led = distinct.withColumn("leader", F.min(F.struct("c", "n")).over(whole)).withColumn("last", F.max("c").over(whole))
+    store = Stored(led.where("leader.c <> last").selectExpr("token", "c", "n", "leader.c as leader", "leader.n as leader_n"), "matrix")
+    matrix = store.df
 
     fits = f"c <> leader and {config.den} * least(n, leader_n) >= {config.num} * greatest(n, leader_n)"
-    shared = matrix.where(fits).groupBy("c", "leader").count()
-    home = Stored(shared.groupBy("c").agg(F.max_by("leader", F.struct("count", "leader")).alias("g")), "home").df
-    members = Stored(home.select("g", "c").union(home.selectExpr("g", "g as c")).distinct(), "members").df
-    sets = _shingles_of(members.select("c").distinct(), classes, texts, config, seed)
+    # a leader that shares far fewer of its shingles than a link takes is left to the second round
+    shared = matrix.where(fits).groupBy("c", "n", "leader").count().where(F.col("count") * 4 >= config.needed("n"))
+    homes = Kept(shared.groupBy("c").agg(F.max_by("leader", F.struct("count", "leader")).alias("g")))
+    home = homes.df
+    members = home.select("c").union(home.select("g"))
+    sets = _shingles_of(members.distinct(), classes, texts, config, seed)
     leaders = home.selectExpr("g", "g as c").distinct()
     first = Stored(_verified(home.select("g", "c"), leaders, sets.df, config), "links").df
     label = connected_components(first)
     sets.drop()
 
-    # the second round: groups are components, a class alone being a group of its own
-    placed = matrix.join(label.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", F.coalesce("label", "c").alias("g"))
-    sizes = label.groupBy(F.col("label").alias("g")).agg(F.count("*").alias("size"))
-    open_ = placed.withColumn("low", F.min("g").over(whole)).withColumn("high", F.max("g").over(whole)).where("low <> high")
-    cells = Stored(open_.join(sizes, "g", "left").select("token", "c", "n", "g", F.coalesce("size", F.lit(1)).alias("size")), "cells").df
-    groups = cells.groupBy("token", "g", "size").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    asked = groups.select("token", F.col("g").alias("to"), F.col("size").alias("to_size"), "least_n", "most_n")
-    smaller = "(size < to_size or (size = to_size and g < to))"
+    # the second round
+    labels = label.select(F.col("node").alias("c"), "label")
+    mains = label.select(F.col("node").alias("g"), F.col("label").alias("main"))
+    grouped = home.select("c", "g").union(leaders.join(home, "c", "left_anti").select("c", "g"))
+    sizes = grouped.groupBy("g").agg(F.count("*").alias("size"))
+    places = Kept(grouped.join(sizes, "g").join(mains, "g", "left").join(labels, "c", "left").select("c", "g", "size", F.coalesce("label", "c").alias("label"), F.coalesce("main", "g").alias("main")))
+    place = places.df
+    or_c = [F.coalesce(x, "c").alias(x) for x in ("g", "label", "main")]
+    placed = matrix.join(place, "c", "left").select("token", "c", "n", *or_c, F.coalesce("size", F.lit(1)).alias("size"))
+    open_ = placed.withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).where("low <> high")
+    cells = Stored(open_.select("token", "c", "n", "g", "label", "main", "size"), "cells").df
+    store.drop()
+    groups = cells.groupBy("token", "g", "size", "main").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    asked = groups.select("token", F.col("g").alias("to"), F.col("size").alias("to_size"), F.col("main").alias("to_main"), "least_n", "most_n")
+    asks_it = "g <> to and if(main = to_main, label <> to_main, size < to_size or (size = to_size and g < to))"
     in_reach = f"{config.den} * n >= {config.num} * least_n and {config.num} * n <= {config.den} * most_n"
-    queries = Stored(cells.join(asked, "token").where(f"{smaller} and {in_reach}").select(F.col("to").alias("g"), "c").distinct(), "queries").df
+    met = cells.join(asked, "token").where(f"{asks_it} and {in_reach}").groupBy(F.col("to").alias("g"), "c", "n").count().where(F.col("count") >= config.needed("n"))
+    own = place.where(f"size > {BLOCK} and label <> main")
+    asks = Kept(met.select("g", "c").union(own.select("g", "c")))
+    queries = asks.df
     asked_groups = queries.select("g").distinct()
-    inside = label.select(F.col("label").alias("g"), F.col("node").alias("c")).join(asked_groups, "g", "left_semi")
-    alone = asked_groups.join(label.select(F.col("node").alias("g")), "g", "left_anti").selectExpr("g", "g as c")
-    held = Stored(inside.unionByName(alone), "members").df
+    inside = place.select("g", "c").join(asked_groups, "g", "left_semi")
+    alone = asked_groups.join(place, "g", "left_anti").selectExpr("g", "g as c")
+    holds = Kept(inside.unionByName(alone))
+    held = holds.df
     sets = _shingles_of(held.select("c").union(queries.select("c")).distinct(), classes, texts, config, seed)
     second = _verified(held, queries, sets.df, config)
     links = Stored(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second), "links").df
-    sets.drop()
+    for x in (sets, asks, holds, places, homes):
+        x.drop()
 
     final = connected_components(links).withColumnRenamed("node", "c")
     known = classes.join(final, "c", "left").select("c", "first_id", F.coalesce("label", "c").alias("label"))
     least = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    component = Stored(known.join(least, "label").select("c", "component_id"), "component").df
+    component = known.join(least, "label").select("c", "component_id")
     rows = profiles.where("slab is null")
     linked = rows.where("c is not null and doc_id is not null").join(component, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(rows.where("c is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

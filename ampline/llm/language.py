@@ -59,7 +59,7 @@ class LanguageConfig:
     word_limit: float = 6.0
     smoothing: float = 0.1
     #: Bytes of text that are labelled in step.
-    slice_bytes: int = 12 << 20
+    slice_bytes: int = 6 << 20
 
 
 def scripts_of(words: list[str]) -> np.ndarray:

@@ -29,9 +29,9 @@ from ampline.llm.common import fresh_path, n_shuffle, ragged, slices, split_word
 
 END_ID = 2
 #: Distinct pieces whose ids a task keeps; beyond that it starts afresh, with the same results.
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 200_000
 #: Bytes of text that are encoded at once.
-ENCODED_BYTES = 16 << 20
+ENCODED_BYTES = 8 << 20
 
 #: Words that the tokenizer's normaliser only lower-cases and its splitter cuts only between letters and marks.
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
@@ -173,6 +173,7 @@ def _write(root: str, tokenizer: str, end_id: int) -> Callable:
                 counts.append(n)
                 nulls.append(doc.is_null().to_numpy(zero_copy_only=False))
                 ids.append(doc.fill_null(0).to_numpy())
+        encoder.clear()
         if not counts:
             fs.delete_file(f"{at}/{name}.ids")
             return
