@@ -351,7 +351,7 @@ def similar_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     mains = label.select(F.col("node").alias("g"), F.col("label").alias("main"))
     grouped = home.select("c", "g").union(leaders.join(home, "c", "left_anti").select("c", "g"))
     sizes = grouped.groupBy("g").agg(F.count("*").alias("size"))
-    places = Kept(grouped.join(sizes, "g").join(mains, "g", "left").join(labels, "c", "left").select("c", "g", "size", F.coalesce("label", "c").alias("label"), F.coalesce("main", "g").alias("main")))
+    places = Stored(grouped.join(sizes, "g").join(mains, "g", "left").join(labels, "c", "left").select("c", "g", "size", F.coalesce("label", "c").alias("label"), F.coalesce("main", "g").alias("main")), "places")
     place = places.df
     or_c = [F.coalesce(x, "c").alias(x) for x in ("g", "label", "main")]
     placed = matrix.join(place, "c", "left").select("token", "c", "n", *or_c, F.coalesce("size", F.lit(1)).alias("size"))
@@ -364,17 +364,16 @@ def similar_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     in_reach = f"{config.den} * n >= {config.num} * least_n and {config.num} * n <= {config.den} * most_n"
     met = cells.join(asked, "token").where(f"{asks_it} and {in_reach}").groupBy(F.col("to").alias("g"), "c", "n").count().where(F.col("count") >= config.needed("n"))
     own = place.where(f"size > {BLOCK} and label <> main")
-    asks = Kept(met.select("g", "c").union(own.select("g", "c")))
+    asks = Stored(met.select("g", "c").union(own.select("g", "c")), "asks")
     queries = asks.df
     asked_groups = queries.select("g").distinct()
     inside = place.select("g", "c").join(asked_groups, "g", "left_semi")
     alone = asked_groups.join(place, "g", "left_anti").selectExpr("g", "g as c")
-    holds = Kept(inside.unionByName(alone))
-    held = holds.df
+    held = inside.unionByName(alone)
     sets = _shingles_of(held.select("c").union(queries.select("c")).distinct(), classes, texts, config, seed)
     second = _verified(held, queries, sets.df, config)
     links = Stored(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second), "links").df
-    for x in (sets, asks, holds, places, homes):
+    for x in (sets, asks, places, homes):
         x.drop()
 
     final = connected_components(links).withColumnRenamed("node", "c")
