@@ -41,8 +41,8 @@ from ampline.llm.components import connected_components
 
 #: The sketch: 2 ** SKETCH_BITS counters, merged in slabs of SLAB.
 SKETCH_BITS, SLAB = 20, 1 << 16
-#: Members of a group that one task holds at once.
-BLOCK = 256
+#: Members of a group, and queries to it, that one task holds at once.
+BLOCK, ASKS = 256, 1024
 #: Ids up to which the list of rows to fetch is broadcast; a longer list is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -278,12 +278,16 @@ def _edges(config: JaccardConfig) -> Callable:
 def _verified(members: DataFrame, queries: DataFrame, shingles: DataFrame, config: JaccardConfig) -> DataFrame:
     """Links within groups. members: (g, c), each a set of the group; queries: (g, c), sets held against group g.
 
-    A group is dealt out in blocks of about BLOCK members, and its queries go to each of its blocks.
+    A group is dealt out in blocks of about BLOCK members, and its queries go to each of its blocks, about ASKS at once.
     """
     spark = shingles.sparkSession
     blocks = members.groupBy("g").agg(F.expr(f"(count(*) + {BLOCK} - 1) div {BLOCK}").alias("blocks"))
-    placed = members.join(blocks, "g").select("g", F.expr("pmod(xxhash64(c), blocks)").alias("block"), "c", F.lit(False).alias("asks"))
-    sent = queries.join(blocks, "g").select("g", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "c", F.lit(True).alias("asks"))
+    parts = queries.groupBy("g").agg(F.expr(f"(count(*) + {ASKS} - 1) div {ASKS}").alias("parts"))
+    sized = blocks.join(parts, "g", "left").select("g", "blocks", F.coalesce("parts", F.lit(1)).alias("parts"))
+    # the key of a task's work: a block of members and a part of the queries
+    each = lambda x: F.explode(F.expr(f"sequence(0L, {x} - 1)"))
+    placed = members.join(sized, "g").withColumn("part", each("parts")).select("g", F.expr("pmod(xxhash64(c), blocks) * parts + part").alias("block"), "c", F.lit(False).alias("asks"))
+    sent = queries.join(sized, "g").withColumn("at", each("blocks")).select("g", F.expr("at * parts + pmod(xxhash64(c), parts)").alias("block"), "c", F.lit(True).alias("asks"))
     rows = placed.unionByName(sent).join(shingles, "c").select("g", "block", "c", "asks", "shingles")
     dealt = rows.repartition(n_shuffle(spark), "g", "block").sortWithinPartitions("g", "block", "asks", "c")
     return dealt.mapInArrow(_edges(config), "a long, b long")
