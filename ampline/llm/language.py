@@ -47,6 +47,8 @@ _FROM, _TO, _SCRIPT = (np.array(x) for x in zip(*_RANGES, strict=True))
 
 _LETTER = re.compile(r"[^\W\d_]")
 ORDERS = (1, 2, 3)
+#: Words whose character n-grams are held at once, and bytes of text that are learned from at once.
+SCORED_WORDS, LEARNED_BYTES = 1 << 14, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,7 @@ def scripts_of(words: list[str]) -> np.ndarray:
 def _learn(bits: int) -> Callable:
     def run(batches):
         totals: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", LEARNED_BYTES):
             langs = np.array(batch.column("lang").to_pylist(), object)
             offsets, codes, vocab = words_of(batch.column("text"))
             script = scripts_of(vocab)
@@ -108,12 +110,13 @@ class LanguageModel:
         """(score of each word in each language, whether it has a letter); words that say nothing score 0 in all."""
         limit = self.config.word_limit
         script = scripts_of(words)
-        owner, gram = hashed_grams(words, ORDERS, self.config.bits)
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        if len(owner):
+        for k in range(0, len(words), SCORED_WORDS):  # a word has a few tens of grams
+            part = words[k : k + SCORED_WORDS]
+            owner, gram = hashed_grams(part, ORDERS, self.config.bits)
             order = np.argsort(owner, kind="stable")
-            starts = np.searchsorted(owner[order], np.arange(len(words)))
-            out = np.add.reduceat(self.grams[gram[order]], starts, axis=0)
+            starts = np.searchsorted(owner[order], np.arange(len(part)))
+            out[k : k + len(part)] = np.add.reduceat(self.grams[gram[order]], starts, axis=0)
         may = self.may[script]
         out[~may] = -np.inf
         out -= np.maximum(out.max(1, keepdims=True), -1e30)
