@@ -41,9 +41,11 @@ class Automaton:
     def __init__(self, vocabulary: Iterable[str]):
         edges: dict[tuple[int, str], int] = {}
         is_piece, above = [False, False], [(NONE, ""), (NONE, "")]
+        alone = False  # whether WORD_START is a piece by itself, which the later pieces may follow
         for piece in vocabulary:
             node, rest = (FIRST, piece[1:]) if piece.startswith(WORD_START) else (LATER, piece)
             if not rest:
+                alone |= node == FIRST
                 continue
             for c in rest:
                 if (node, c) not in edges:
@@ -57,6 +59,8 @@ class Automaton:
             if parent != NONE:
                 below[parent].append(node)
         fail, popped = [NONE] * len(is_piece), [0] * len(is_piece)
+        if alone:
+            fail[FIRST], popped[FIRST] = LATER, 1
         todo = deque(below[FIRST] + below[LATER])
         while todo:  # breadth first: links lead to nodes of lesser depth
             node = todo.popleft()
@@ -106,7 +110,7 @@ class Automaton:
             node[live] = self.fail[node[live]]
             live = live[(node[live] != NONE) & (node[live] != LATER)]
         out = np.zeros(len(words), np.int64)
-        out[order] = np.where(node == LATER, count, 0)
+        out[order] = np.where((node == LATER) & (longest_first > 0), count, 0)
         return out
 
 
@@ -127,7 +131,8 @@ def _count(automaton) -> Callable:
 def token_counts(docs: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
     """One row per input row: doc_id, n_words, n_tokens, n_unknown.
 
-    Words are runs of characters other than ASCII white space; case and punctuation stay. A word that the vocabulary
+    Words are runs of characters other than ASCII white space; case and punctuation stay. A word that no piece with
+    WORD_START begins has WORD_START as its first piece, where that is in the vocabulary. A word that the vocabulary
     can't spell counts as one unknown token. Null and empty texts have 0 of each; an empty table gives no rows;
     repeated rows and null ids give a row each; further columns are ignored.
     """
