@@ -31,15 +31,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the row of the least doc_id; rows without an id stay."""
-    parts = Stored(similar_components(docs, NEAR).where("component_id is not null"), "near").df
-    drop = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("ampline_drop_id")).distinct()
+    """Keeps of each group of near duplicates one row: of those with the least doc_id, the first stored.
+
+    Groups and decisions are by stored row, so repeated ids and rows without an id are rows like others; an id comes
+    before none. Texts of white space and null texts are in no group and stay.
+    """
+    keyed = Stored(docs.withColumn("ampline_row", F.monotonically_increasing_id()), "keyed").df
+    found = similar_components(keyed.select(F.col("ampline_row").alias("doc_id"), "text"), NEAR)
+    parts = Stored(found.select(F.col("doc_id").alias("ampline_row"), "component_id"), "near").df
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "ampline_row"))
+    first = keyed.select("ampline_row", "doc_id").join(parts, "ampline_row").groupBy("component_id").agg(best.alias("best"))
+    drop = Stored(parts.select("ampline_row").join(first.select("best.ampline_row"), "ampline_row", "left_anti"), "drop").df
     few = drop.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(drop) if few else drop, F.col("doc_id") == F.col("ampline_drop_id"), "left_anti")
-    if parts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    # ids that repeat: one row of each stays
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return keyed.join(F.broadcast(drop) if few else drop, "ampline_row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,31 @@
+"""Stages of the corpus pipeline on small tables with odd rows."""
+
+import random
+
+import corpus_pipeline
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars int, extra int"
+
+
+def table(spark, rows):
+    """documents from (doc_id, text, lang), with the row's place in a column of its own"""
+    return spark.createDataFrame([(i, t, lang, f"s{k % 2}", len(t or ""), k) for k, (i, t, lang) in enumerate(rows)], COLUMNS)
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def test_near_duplicates_keep_one_row_of_each_group_and_every_other(spark):
+    rng = random.Random(7)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    near = c.rsplit(" ", 1)[0] + " other"  # shares 55 of 57 shingles
+    rows = [(5, a), (7, a), (3, b), (5, b), (9, c), (9, d), (None, e), (None, e), (None, e), (8, near), (None, b), (2, None), (2, None), (4, " ")]
+    docs = table(spark, [(i, t, "en") for i, t in rows])
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = got.collect()
+    texts = [r.text for r in kept]
+    assert {(r.doc_id, r.text) for r in kept if r.text in (a, b, d, near)} == {(5, a), (3, b), (9, d), (8, near)}
+    assert [texts.count(t) for t in (a, b, c, d, e, near)] == [1, 1, 0, 1, 1, 1]
+    assert len(kept) == 5 + 3
