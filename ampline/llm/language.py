@@ -213,6 +213,16 @@ def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return out.withColumn("text", F.when(~F.col("ampline_text_is_null"), F.col("text"))).select(*rows.columns, "lang_pred", "score")
 
 
+def _lettered(batches):
+    for batch in slices(batches, "text"):
+        yield batch.filter(pa.array([_LETTER.search(x) is not None for x in batch.column("text").to_pylist()], pa.bool_()))
+
+
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows whose text has a letter: those that with_language gives a language when there is a model."""
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_lettered, docs.schema)
+
+
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score, as by with_language."""
     return with_language(docs.selectExpr("cast(doc_id as long) doc_id", "text"), model).select("doc_id", "lang_pred", "score")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ampline.llm.common import Stored, table
 from ampline.llm.decontaminate import flag_leaks
 from ampline.llm.jaccard_join import JaccardConfig, similar_components
-from ampline.llm.language import fit, with_language
+from ampline.llm.language import fit, with_language, with_letters
 from ampline.llm.mixing import mix
 from ampline.llm.token_files import token_files
 
@@ -25,8 +25,14 @@ BROADCAST_IDS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no language: null texts and texts without a letter."""
-    labelled = with_language(docs, fit(docs))
+    """Drops what has no language: null texts and texts without a letter.
+
+    With no labelled row to learn from no language can be told, and texts with letters stay.
+    """
+    model = fit(docs)
+    if model is None:
+        return with_letters(docs)
+    labelled = with_language(docs, model)
     return labelled.where("lang_pred <> 'und'").select(*docs.columns)
 
 

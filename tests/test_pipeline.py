@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars int, extra int"
@@ -29,3 +31,14 @@ def test_near_duplicates_keep_one_row_of_each_group_and_every_other(spark):
     assert {(r.doc_id, r.text) for r in kept if r.text in (a, b, d, near)} == {(5, a), (3, b), (9, d), (8, near)}
     assert [texts.count(t) for t in (a, b, c, d, e, near)] == [1, 1, 0, 1, 1, 1]
     assert len(kept) == 5 + 3
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_language_id_drops_texts_without_a_letter_only(spark, lang):
+    texts = [None, "", " \n", "12 3.4 ½", "_ 5", "word", "слово", "中文", "7 été", "word"]
+    docs = table(spark, [*((k, t, lang) for k, t in enumerate(texts)), (None, "no id", None), (0, "same id", None), (3, "--", lang)])
+    got = corpus_pipeline.language_id(spark, docs, "")
+    want = [r for r in docs.collect() if any(c.isalnum() and not c.isdecimal() for c in r.text or "")]
+    assert got.columns == docs.columns
+    assert sorted(got.collect(), key=lambda r: r.extra) == want
+    assert {r.text for r in want} >= {"word", "слово", "中文", "7 été", "no id", "same id"}
