@@ -4,15 +4,20 @@ Texts and benchmark items are lower-cased and white space is collapsed. An item,
 one, may occur in a text with some edits. By the q-gram lemma, an occurrence of a window of m characters with at most k
 edits shares at least m + 1 - q * (k + 1) q-grams with it, whose diagonals (text position less window position) differ
 by k at most. So the q-grams of a text that the benchmark has are counted in diagonal bands that overlap by half, and
-bands with enough of them are verified by banded alignment. A length of text without enough q-grams of any window is
-passed over first. The work is linear in the text, and the text is neither shuffled nor cut.
+bands with enough of them are verified by banded alignment, all bands of a slice of text in step. A length of text
+without enough q-grams of any window is passed over first. The text is neither shuffled nor cut.
 
-The benchmark is held in blocks of bounded size; a larger one takes several passes. Characters are UTF-8 bytes.
+Windows lie so close that every passage of ``window + step`` characters of an item holds a whole one. Windows of
+the same content, such as those of a preamble that many items share, are one window with several owners. Items too short
+for the lemma must occur exactly, as whole words.
+
+The benchmark is dealt out in blocks of bounded size; where it has more than one, blocks are indexed, broadcast and
+searched one after the other, so neither the driver nor an executor holds more than one. Characters are UTF-8 bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,9 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampline.llm.common import ragged, slices, table
+from ampline.llm.common import Stored, ragged, slices, table
 
 BITMAP_BITS = 22
+#: Pairs of a text's q-gram and a window that are counted at once, and bands that are aligned at once.
+COUNTED, ALIGNED = 1 << 21, 1 << 12
+#: Characters after which a long item is cut, so that it fits a block; a multiple of the step keeps its windows.
+PIECE = 50_000
 
 
 @dataclass(frozen=True)
@@ -32,12 +41,13 @@ class LeakConfig:
     q: int = 12
     #: Edits allowed, as a share of the window.
     edits: float = 0.06
-    #: Longer items are cut into windows of this many characters, each half of one after the last.
-    window: int = 200
-    #: Shorter items occur by chance and are left out.
+    #: Longer items are cut into windows of this many characters, ``step`` apart.
+    window: int = 100
+    step: int = 25
+    #: Shorter items must occur exactly.
     least_chars: int = 30
     #: Characters of benchmark that are held at once.
-    block_chars: int = 8 << 20
+    block_chars: int = 1 << 20
 
 
 def normalised(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,32 +84,57 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def window_starts(n: int, config: LeakConfig) -> list[int]:
+    """Where the windows of an item of n characters start."""
+    return [0] if n <= config.window else sorted({*range(0, n - config.window, config.step), n - config.window})
+
+
+def budget(m: int, config: LeakConfig) -> int:
+    """Edits that a window of m characters may have; few enough for the lemma to ask for a q-gram."""
+    return min(int(m * config.edits), max((m - config.q) // config.q, 0))
+
+
 class BenchmarkIndex:
-    """Windows of benchmark items, and where each of their q-grams stands."""
+    """Windows of benchmark items, the items that own each, and where each of their q-grams stands."""
 
     def __init__(self, items: list[tuple[int, str]], config: LeakConfig):
-        self.config, self.owner, self.windows = config, [], []
-        q = config.q
+        self.config = config
+        q, place_of, owners, starts, sizes, texts, base = config.q, {}, [], [], [], [], 0
+        self.short: dict[str, set[int]] = {}
         for item, text in items:
             data, _ = normalised(pa.array([(text or "").strip()], pa.string()))
             if len(data) < max(config.least_chars, q):
+                if len(data):
+                    self.short.setdefault(data.tobytes().decode(), set()).add(item)
                 continue
-            step = max(1, config.window // 2)
-            starts = {0} if len(data) <= config.window else {*range(0, len(data) - config.window, step), len(data) - config.window}
-            for s in sorted(starts):
-                self.owner.append(item)
-                self.windows.append(data[s : s + config.window])
-        m = np.array([len(w) for w in self.windows], np.int64)
-        self.edits = np.minimum((m * config.edits).astype(np.int64), np.maximum((m - q) // q, 0))
-        self.needed = np.maximum(m + 1 - q * (self.edits + 1), 1)
-        self.size = m
-        h = [grams(w, q) for w in self.windows]
-        flat = np.concatenate(h) if h else np.zeros(0, np.uint64)
-        window = np.repeat(np.arange(len(h)), [len(x) for x in h]) if h else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(x)) for x in h]) if h else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.keys, first = np.unique(flat[order], return_index=True)
-        self.first = np.append(first, len(flat))
+            for s in window_starts(len(data), config):
+                part = data[s : s + config.window].tobytes()
+                if part not in place_of:
+                    place_of[part] = len(owners)
+                    owners.append(set())
+                    starts.append(base + s)
+                    sizes.append(len(part))
+                owners[place_of[part]].add(item)
+            texts.append(data)
+            base += len(data)
+        self.size = np.array(sizes, np.int64)
+        self.edits = np.array([budget(m, config) for m in sizes], np.int64)
+        self.needed = np.maximum(self.size + 1 - q * (self.edits + 1), 1)
+        self.n_owners = np.array([len(x) for x in owners], np.int64)
+        self.first_owner = np.cumsum(self.n_owners) - self.n_owners
+        self.owner = np.array([i for x in owners for i in sorted(x)], np.int64)
+        flat = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+        begin = np.array(starts, np.int64)
+        self.pattern = np.zeros((len(sizes), int(self.size.max(initial=0))), np.uint8)
+        for k, (s, m) in enumerate(zip(starts, sizes, strict=True)):
+            self.pattern[k, :m] = flat[s : s + m]
+        each = np.maximum(self.size - q + 1, 0)
+        at = ragged(begin, each)
+        gram, window = grams(flat, q)[at], np.repeat(np.arange(len(sizes), dtype=np.int32), each)
+        place = (at - np.repeat(begin, each)).astype(np.int32)
+        order = np.argsort(gram, kind="stable")
+        self.keys, first = np.unique(gram[order], return_index=True)
+        self.first = np.append(first, len(gram))
         self.window, self.place = window[order], place[order]
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[(self.keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
@@ -112,15 +147,13 @@ class BenchmarkIndex:
         same = self.keys[key] == h[at]
         return at[same], key[same]
 
-    def find(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, edits) of occurrences; positions in the normalised text."""
-        if not len(self.keys) or not len(data):
-            return
+    def bands(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows (text, window, first diagonal in that text) of the bands with enough q-grams, each once."""
         at, key = self.hits(data)
         # a hit counts if some window's needed number of hits, this one among them, lies within reach
         few, reach = int(self.needed.min()), int((self.size + self.edits).max())
         if len(at) < few:
-            return
+            return np.zeros((0, 3), np.int64)
         dense = np.flatnonzero(at[few - 1 :] - at[: len(at) - few + 1] <= reach)
         marks = np.zeros(len(at) + 1, np.int64)
         np.add.at(marks, dense, 1)
@@ -130,116 +163,193 @@ class BenchmarkIndex:
         doc = np.searchsorted(offsets, at, side="right") - 1
         inside = at + self.config.q <= offsets[doc + 1]
         at, key, doc = at[inside], key[inside], doc[inside]
+        # texts are moved apart, so that no band holds hits of two
+        apart = 4 * reach
+        at = at + doc * apart
         counts = self.first[key + 1] - self.first[key]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        found, start = [np.zeros((0, 3), np.int64)], 0
+        while start < len(at):
+            # pieces of bounded work that overlap by the reach of a window, so that each occurrence lies in one whole
+            stop = max(int(np.searchsorted(total, total[start] + COUNTED, side="right")) - 1, int(np.searchsorted(at, at[start] + 2 * reach, side="right")))
+            found.append(self._counted(at[start:stop], key[start:stop], doc[start:stop], counts[start:stop], apart))
+            if stop >= len(at):
+                break
+            start = int(np.searchsorted(at, at[stop] - reach))
+        cells = np.concatenate(found)
+        cells[:, 2] -= offsets[cells[:, 0]]
+        return np.unique(cells, axis=0)
+
+    def _counted(self, at: np.ndarray, key: np.ndarray, doc: np.ndarray, counts: np.ndarray, apart: int) -> np.ndarray:
         post = ragged(self.first[key], counts)
-        window, diagonal = self.window[post], np.repeat(at, counts) - self.place[post]
-        doc = np.repeat(doc, counts)
-        width = 2 * (self.edits[window] + 1)
+        window, doc = self.window[post].astype(np.int64), np.repeat(doc, counts)
+        diagonal = np.repeat(at, counts) - self.place[post] + apart  # not below 0
+        half = self.edits[window] + 1
         found = []
-        for half in (0, 1):
-            band = (diagonal + half * (width // 2)) // width
-            row = np.stack([doc, window, band], axis=1)
-            cells, n = np.unique(row, axis=0, return_counts=True)
-            enough = n >= self.needed[cells[:, 1]]
-            cells = cells[enough]
-            low = cells[:, 2] * 2 * (self.edits[cells[:, 1]] + 1) - half * (self.edits[cells[:, 1]] + 1)
-            found.append(np.stack([cells[:, 0], cells[:, 1], low], axis=1))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for doc_, window_, low in np.unique(np.concatenate(found), axis=0).tolist():
-            a, b = int(offsets[doc_]), int(offsets[doc_ + 1])
-            got = self.align(window_, data[a:b], low - a)
-            k = (doc_, self.owner[window_])
-            if got and (k not in best or got[2] < best[k][2]):
-                best[k] = got
-        for (doc_, item), (start, end, edits) in best.items():
-            yield doc_, item, start, end, edits
-
-    def align(self, window: int, text: np.ndarray, low: int) -> tuple[int, int, int] | None:
-        """The closest occurrence on diagonals near the band from ``low`` on: (start, end, edits), if within the budget.
-
-        Row i holds the least edits that match the window's first i characters so that the text part ends at position
-        i + diagonal; the part may start anywhere in the band.
+        for shift in (0, 1):
+            band = (diagonal + shift * half) // (2 * half)
+            cells, one, n = np.unique(window << 36 | band, return_index=True, return_counts=True)
+            good = n >= self.needed[cells >> 36]
+            w, d = cells[good] >> 36, doc[one[good]]
+            h = self.edits[w] + 1
+            found.append(np.stack([d, w, (cells[good] & ((1 << 36) - 1)) * 2 * h - shift * h - apart - d * apart], axis=1))
+        return np.concatenate(found)
+
+    def aligned(self, data: np.ndarray, offsets: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start in the text, end, edits) of the closest occurrence on diagonals near each band.
+
+        Row i of the table holds, for each diagonal, the least edits that match the window's first i characters so that
+        the text part ends there; the part may start anywhere in the band. What lies outside of the text matches nothing.
         """
-        pattern, k = self.windows[window], int(self.edits[window])
-        shifts = np.arange(low - k - 1, low + 3 * (k + 1) + 1)
-        cost = np.where((shifts >= 0) & (shifts <= len(text)), 0, 10**6)
-        start = shifts.copy()
-        lanes = np.arange(len(shifts))
-        for i, c in enumerate(pattern.tolist()):
-            end = shifts + i
-            ok = (end >= 0) & (end < len(text))
-            other = text[np.clip(end, 0, max(0, len(text) - 1))] != c
-            same = np.where(ok, cost + other, 10**6)  # one character of each
-            drop, dropped = np.append(cost[1:] + 1, 10**6), np.append(start[1:], 0)  # a character of the window is missing
+        doc, window, low = cells.T
+        k, m = self.edits[window], self.size[window]
+        lanes, steps = 4 * int(k.max()) + 5, int(m[0])  # longest first
+        begin, n = low - k - 1, offsets[doc + 1] - offsets[doc]
+        reads = begin[:, None] + np.arange(lanes + steps)
+        ok = (reads >= 0) & (reads < n[:, None])
+        text = np.where(ok, data[np.clip(offsets[doc][:, None] + reads, 0, len(data) - 1)], np.uint8(255))
+        pattern, lane = self.pattern[window], np.arange(lanes, dtype=np.int32)
+        cost = np.zeros((len(cells), lanes), np.int32)
+        start = np.broadcast_to(lane, cost.shape).copy()
+        live = np.searchsorted(-m, -np.arange(steps), side="left")
+        for i, c in enumerate(live.tolist()):
+            now, from_ = cost[:c], start[:c]
+            same = now + (text[:c, i : i + lanes] != pattern[:c, i : i + 1])  # one character of each
+            drop = np.full_like(now, 1 << 20)  # a character of the window is missing
+            drop[:, :-1] = now[:, 1:] + 1
+            dropped = np.roll(from_, -1, axis=1)
             less = drop < same
-            now, begun = np.where(less, drop, same), np.where(less, dropped, start)
-            level = now - lanes  # then characters that only the text has
-            least = np.minimum.accumulate(level)
-            origin = np.maximum.accumulate(np.where(level <= least, lanes, 0))
-            cost, start = least + lanes, begun[origin]
-        best = int(cost.argmin())
-        if cost[best] > k:
-            return None
-        return int(start[best]), int(shifts[best] + len(pattern)), int(cost[best])
+            now, from_ = np.where(less, drop, same), np.where(less, dropped, from_)
+            level = now - lane  # then characters that only the text has
+            least = np.minimum.accumulate(level, axis=1)
+            origin = np.maximum.accumulate(np.where(level <= least, lane, 0), axis=1)
+            cost[:c], start[:c] = least + lane, np.take_along_axis(from_, origin, axis=1)
+        best = cost.argmin(1)
+        row = np.arange(len(cells))
+        return np.clip(begin + start[row, best], 0, n), np.clip(begin + best + m, 0, n), cost[row, best]
+
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows (text, item, start, end, edits) of the closest passage of each item in each text, by text and item; positions in the normalised text."""
+        rows = [np.zeros((0, 5), np.int64)]
+        if len(self.keys) and len(data):
+            cells = self.bands(data, offsets)
+            cells = cells[np.argsort(-self.size[cells[:, 1]], kind="stable")]
+            for k in range(0, len(cells), ALIGNED):
+                part = cells[k : k + ALIGNED]
+                start, end, edits = self.aligned(data, offsets, part)
+                good = edits <= self.edits[part[:, 1]]
+                window = part[good, 1]
+                each = np.repeat(np.flatnonzero(good), self.n_owners[window])
+                item = self.owner[ragged(self.first_owner[window], self.n_owners[window])]
+                rows.append(np.stack([part[each, 0], item, start[each], end[each], edits[each]], axis=1))
+        if self.short and len(data):
+            rows.append(self._exact(data, offsets))
+        found = np.concatenate(rows)
+        found = found[np.lexsort((found[:, 2], found[:, 4], found[:, 1], found[:, 0]))]
+        first = np.ones(len(found), bool)
+        first[1:] = (found[1:, :2] != found[:-1, :2]).any(1)
+        return found[first]
+
+    def _exact(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Occurrences of short items between spaces or the text's ends."""
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for text, items in self.short.items():
+            words.add_word(f" {text} ", (len(text.encode()), items))
+        words.make_automaton()
+        rows = []
+        for doc, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            text = f" {data[a:b].tobytes().decode()} "
+            seen: set[int] = set()
+            for end, (size, items) in words.iter(text):
+                for item in items - seen:
+                    stop = len(text[1:end].encode())
+                    rows.append((doc, item, stop - size, stop, 0))
+                seen |= items
+        return np.array(rows, np.int64).reshape(-1, 5)
 
 
 def _find(index) -> Callable:
-    schema = pa.schema([("row", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
 
     def run(batches):
         for batch in slices(batches, "text"):
-            rows = list(index.value.find(*normalised(batch.column("text"))))
-            if not rows:
-                continue
-            doc, *rest = zip(*rows, strict=True)
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in rest)], schema=schema)
+            rows = index.value.find(*normalised(batch.column("text")))
+            if len(rows):
+                yield pa.record_batch([batch.column("id").take(pa.array(rows[:, 0])), *(pa.array(x) for x in rows[:, 1:].T)], schema=schema)
 
     return run
 
 
-def _flag(index) -> Callable:
+def _flag(index, column: str) -> Callable:
     def run(batches):
         for batch in slices(batches, "text"):
-            items: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for doc, item, *_ in index.value.find(*normalised(batch.column("text"))):
-                items[doc].append(item)
-            old = batch.column("leaked_items").to_pylist()
-            both = pa.array([sorted({*a, *b}) for a, b in zip(old, items, strict=True)], pa.list_(pa.int64()))
-            yield batch.set_column(batch.schema.get_field_index("leaked_items"), "leaked_items", both)
+            rows = index.value.find(*normalised(batch.column("text")))
+            ends = np.searchsorted(rows[:, 0], np.arange(batch.num_rows + 1))
+            items = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rows[:, 1]))
+            yield batch.set_column(batch.schema.get_field_index(column), column, items)
 
     return run
 
 
-def indexes(benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> list[BenchmarkIndex]:
-    """Indexes over blocks of the benchmark of about config.block_chars characters; one block for most benchmarks."""
-    items = benchmark.where("item_id is not null and text is not null").selectExpr("cast(item_id as long) item_id", "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+def pieces(benchmark: DataFrame, config: LeakConfig) -> tuple[DataFrame, int]:
+    """(item_id, text, block) of the benchmark, long items in overlapping pieces, and the number of blocks of about block_chars."""
+    given = benchmark.where("item_id is not null and text is not null")
+    plain = given.select(F.col("item_id").cast("long").alias("item_id"), F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ").alias("text"))
+    at = F.explode(F.expr(f"sequence(0, greatest(length(text) - {config.window + 1}, 0) div {PIECE})"))
+    cut = plain.withColumn("at", at).select("item_id", F.expr(f"substring(text, at * {PIECE} + 1, {PIECE + config.window})").alias("text"))
+    total = plain.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // config.block_chars))
-    return [BenchmarkIndex([(x.item_id, x.text) for x in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], config) for k in range(n)]
+    return cut.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), n
+
+
+def index_block(cut: DataFrame, block: int, config: LeakConfig) -> BenchmarkIndex:
+    """The index of one block, about config.block_chars characters."""
+    return BenchmarkIndex([(x.item_id, x.text) for x in cut.where(F.col("block") == block).select("item_id", "text").collect()], config)
+
+
+def _leaks(texts: DataFrame, cut: DataFrame, n: int, config: LeakConfig) -> DataFrame:
+    """find's rows for texts (id, text); of several blocks each is searched and its rows stored before the next."""
+    sc, found = texts.sparkSession.sparkContext, []
+    for k in range(n):
+        index = sc.broadcast(index_block(cut, k, config))
+        part = texts.mapInArrow(_find(index), "id long, item_id long, start long, end long, edits long")
+        if n == 1:
+            return part
+        found.append(Stored(part, "leaks").df)
+        index.destroy()
+    best = F.min_by(F.struct("start", "end", "edits"), F.struct("edits", "start")).alias("x")
+    return reduce(DataFrame.unionByName, found).groupBy("id", "item_id").agg(best).select("id", "item_id", "x.*")
 
 
-def flag_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
-    """``docs`` with leaked_items: the sorted ids of the benchmark items of which the text holds a passage; often empty.
+def flag_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig(), column: str = "leaked_items") -> DataFrame:
+    """``docs`` with leaked_items (or ``column``): the sorted ids of the benchmark items of which the text holds a passage; often empty.
 
-    Null and empty texts hold none. Null items, and items of fewer characters than config.least_chars, are left out;
-    with an empty benchmark nothing is found. Columns and repeated rows of docs stay as they are; a column of docs that
-    is called leaked_items is replaced. An empty table gives no rows.
+    Null and empty texts hold none. Null and empty items are left out; with an empty benchmark nothing is found. Items
+    that repeat an id are one item. Columns and repeated rows of docs stay as they are; a column of docs that is called
+    as the new one is replaced. An empty table gives no rows.
     """
-    sc = docs.sparkSession.sparkContext
-    out = docs.drop("leaked_items").withColumn("leaked_items", F.array().cast("array<long>"))
-    names = out.columns
-    plain = out.withColumn("text", F.col("text").cast("string")).withColumn("ampline_text_is_null", F.col("text").isNull())
-    for index in indexes(benchmark, config):
-        plain = plain.mapInArrow(_flag(sc.broadcast(index)), plain.schema)
-    return plain.withColumn("text", F.when(~F.col("ampline_text_is_null"), F.col("text"))).select(*names)
+    out = docs.drop(column)
+    cut, n = pieces(benchmark, config)
+    if n == 1:
+        index = docs.sparkSession.sparkContext.broadcast(index_block(cut, 0, config))
+        plain = out.withColumn("text", F.col("text").cast("string")).withColumn("ampline_text_is_null", F.col("text").isNull())
+        plain = plain.withColumn(column, F.array().cast("array<long>"))
+        made = plain.mapInArrow(_flag(index, column), plain.schema)
+        return made.withColumn("text", F.when(~F.col("ampline_text_is_null"), F.col("text"))).select(*out.columns, column)
+    keyed = Stored(out.withColumn("ampline_row", F.monotonically_increasing_id()), "keyed-docs").df
+    leaks = _leaks(keyed.select(F.col("ampline_row").alias("id"), "text"), cut, n, config)
+    items = leaks.groupBy(F.col("id").alias("ampline_row")).agg(F.sort_array(F.collect_set("item_id")).alias(column))
+    empty = F.array().cast("array<long>")
+    return keyed.join(items, "ampline_row", "left").withColumn(column, F.coalesce(column, empty)).select(*out.columns, column)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
-    """A row per document and item: doc_id, item_id, start, end and edits of the closest passage in the normalised text."""
-    sc = docs.sparkSession.sparkContext
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    parts = [texts.mapInArrow(_find(sc.broadcast(x)), "doc_id long, item_id long, start long, end long, edits long") for x in indexes(benchmark, config)]
-    return reduce(DataFrame.unionByName, parts)
+    """A row per document and item: doc_id, item_id, start, end and edits of the closest passage in the normalised text, the first of equals."""
+    cut, n = pieces(benchmark, config)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return _leaks(texts, cut, n, config).withColumnRenamed("id", "doc_id")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

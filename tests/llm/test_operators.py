@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pyarrow as pa
@@ -124,23 +125,64 @@ def edits(pattern, text):
     return min(cost)
 
 
-def test_leaks_are_those_of_full_alignment(spark):
+def leaked(items, text, config):
+    """The items of which the text holds a window, by aligning each window with the whole text."""
+    plain = lambda t: " ".join((t or "").lower().split())
+    out, said = set(), plain(text)
+    for item, t in items:
+        if not (t := plain(t)):
+            continue
+        if len(t) < config.least_chars:
+            windows = {f" {t} "} if f" {t} " in f" {said} " else set()
+        else:
+            windows = {t[s : s + config.window] for s in decontaminate.window_starts(len(t), config)}
+            windows = {w for w in windows if edits(w, said) <= decontaminate.budget(len(w), config)}
+        if windows:
+            out.add(item)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block_chars", "piece", "counted"), [(1 << 20, 50_000, 1 << 21), (300, 125, 50)])
+def test_leaks_are_those_of_full_alignment(spark, monkeypatch, block_chars, piece, counted):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    monkeypatch.setattr(decontaminate, "COUNTED", counted)
     rng = random.Random(4)
     say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
-    items = [(k, say(18)) for k in range(6)]
+    preamble = say(12)
+    items = [*((k, say(18)) for k in range(4)), *((k, f"{preamble} {say(20)}") for k in range(4, 8)), (8, say(75)), (8, say(16)), (10, "short one"), (11, "Ab"), (9, None), (12, ""), (13, "  ")]
     texts = []
-    for k in range(60):
-        part = list(rng.choice(items)[1])
+    for _ in range(30):
+        whole = rng.choice(items[:9])[1]
+        a = rng.choice([0, 0, rng.randrange(len(whole))])
+        part = list(whole[a : rng.choice([len(whole), a + 130])])
         for _ in range(rng.choice([0, 0, 1, 3, 5, 12])):
             part[rng.randrange(len(part))] = rng.choice("xyz")
-        texts.append(say(rng.randint(0, 40)) + " " + ("".join(part) if rng.random() < 0.6 else "") + " " + say(10))
-    texts += [None, ""]
-    config = decontaminate.LeakConfig()
-    got = {r.doc_id: r.leaked_items for r in decontaminate.flag_leaks(table(spark, texts, list(range(len(texts)))), spark.createDataFrame([*items, (9, None), (8, "short")], "item_id long, text string")).collect()}
-    for k, text in enumerate(texts):
-        budget = lambda t: min(int(len(t) * config.edits), max((len(t) - config.q) // config.q, 0))
-        want = [i for i, t in items if len(t) <= config.window and edits(t, " ".join((text or "").lower().split())) <= budget(t)]
-        assert got[k] == want
+        texts.append(say(rng.randint(0, 40)) + " " + ("".join(part) if rng.random() < 0.7 else "") + " " + say(10) + rng.choice(["", " short  one", " shorts one", " ab "]))
+    texts += [None, "", "ab", preamble, f"{preamble} " * 8, say(10)]
+    config = decontaminate.LeakConfig(block_chars=block_chars)
+    docs, benchmark = table(spark, texts, list(range(len(texts)))).withColumn("leaked_items", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
+    flagged = decontaminate.flag_leaks(docs, benchmark, config)
+    assert flagged.columns == docs.columns
+    want = {k: leaked(items, t, config) for k, t in enumerate(texts)}
+    assert sum(map(bool, want.values())) > 10
+    assert {r.doc_id: r.leaked_items for r in flagged.collect()} == want
+    found = decontaminate.find_leaks(docs, benchmark, config).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(k, i) for k, x in want.items() for i in x]
+    for r in found:
+        part = " ".join((texts[r.doc_id] or "").lower().split())
+        assert 0 <= r.start < r.end <= len(part) + 1
+        assert r.end - r.start <= config.window + 6
+
+
+def test_a_preamble_of_many_items_costs_no_more_than_its_windows():
+    rng = random.Random(1)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    preamble = say(118)
+    index = decontaminate.BenchmarkIndex([(k, preamble + say(200)) for k in range(50)], decontaminate.LeakConfig())
+    start = time.perf_counter()
+    rows = index.find(*decontaminate.normalised(pa.array([preamble * 20])))
+    assert time.perf_counter() - start < 5
+    assert rows[:, 1].tolist() == list(range(50))
 
 
 @pytest.mark.parametrize("size", [3, 4096])
