@@ -20,6 +20,8 @@ from ampline.llm.common import slices, sums_between, table, words_of
 WORD_START = "▁"
 #: Node ids: the roots of first and of later pieces; no node.
 FIRST, LATER, NONE = 0, 1, -1
+#: Characters beyond which words are read one by one, as few are that long.
+LONG = 128
 
 
 def piece_vocabulary(path: str | None = None) -> list[str]:
@@ -78,6 +80,8 @@ class Automaton:
         order = np.argsort(keys)
         self.keys, self.target = keys[order], np.fromiter(edges.values(), np.int32, len(edges))[order]
         self.fail, self.popped = np.array(fail, np.int32), np.array(popped, np.int32)
+        #: the same as dict and list, once a long word asks for them
+        self.edges: dict[int, int] | None = None
 
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         key = node.astype(np.int64) << 21 | char
@@ -89,6 +93,10 @@ class Automaton:
         if not len(self.keys) or not words:
             return np.zeros(len(words), np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
+        if len(long := np.flatnonzero(sizes > LONG)):
+            out = self.lengths(["" if n > LONG else w for w, n in zip(words, sizes.tolist(), strict=True)])
+            out[long] = [self.length(words[k]) for k in long.tolist()]
+            return out
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         order = np.argsort(-sizes, kind="stable")
         starts = (np.cumsum(sizes) - sizes)[order]
@@ -114,6 +122,25 @@ class Automaton:
         return out
 
 
+    def length(self, word: str) -> int:
+        """As lengths, of one word."""
+        if self.edges is None:
+            self.edges = dict(zip(self.keys.tolist(), self.target.tolist(), strict=True))
+            self.links = list(zip(self.fail.tolist(), self.popped.tolist(), strict=True))
+        edges, links, node, count = self.edges, self.links, FIRST, 0
+        for c in map(ord, word):
+            while (there := edges.get(node << 21 | c)) is None:
+                node, more = links[node]
+                if node == NONE:
+                    return 0
+                count += more
+            node = there
+        while node not in (LATER, NONE):  # at the word's end
+            node, more = links[node]
+            count += more
+        return count if node == LATER else 0
+
+
 def _count(automaton) -> Callable:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())])
 
