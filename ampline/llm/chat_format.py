@@ -1,9 +1,10 @@
 """Chat formatting by columnar byte assembly.
 
 Turns are dealt out by conversation and sorted, so each conversation's turns lie side by side in the Arrow batches of
-one task. For all turns of a batch, numpy computes the lengths of the five segments of a turn (start mark, role, line
+one task. For all turns of a part, numpy computes the lengths of the five segments of a turn (start mark, role, line
 end, text, end mark), their cumulative offsets and the scatter positions, and copies marks and contents into one
-preallocated Arrow buffer.
+preallocated Arrow buffer. A conversation longer than PART_BYTES comes out in several parts of whole turns, so a task holds
+no more than that of it, and its reader takes one part after the other.
 
 A turn reads ``<|im_start|>role\\ntext<|im_end|>\\n``. In roles and texts every ``<``, backslashes, ``|`` gains one
 backslash before the bar, which undoes uniquely and leaves no ``<|`` inside them; a role's own line ends are written
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,11 @@ from ampline.llm.common import n_shuffle, ragged, slices, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
+#: Bytes of roles and texts after which a conversation's next part begins.
+PART_BYTES = 32 << 20
 
-FORMATTED = "conv_id long, formatted string, loss_start array<long>, loss_end array<long>"
-_SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.list_(pa.int64())), ("loss_end", pa.list_(pa.int64()))])
+FORMATTED = "conv_id long, part long, formatted string, loss_start array<long>, loss_end array<long>"
+_SCHEMA = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.list_(pa.int64())), ("loss_end", pa.list_(pa.int64()))])
 
 
 def _escape(text: pa.Array) -> pa.Array:
@@ -54,8 +58,8 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), lengths
 
 
-def assemble(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Formats whole conversations; the rows of a conversation are adjacent and in order."""
+def assemble(batch: pa.RecordBatch, part: int = 0) -> pa.RecordBatch:
+    """Formats conversations; the rows of a conversation are adjacent and in order. ``part`` is the first one's part, of the others it is 0."""
     conv, n = batch.column("conv_id"), batch.num_rows
     role, text = batch.column("role"), batch.column("text")
     key, null = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
@@ -76,30 +80,42 @@ def assemble(batch: pa.RecordBatch) -> pa.RecordBatch:
     base = np.repeat(bounds[:-1], np.diff(np.append(first, n)))
     spans = np.searchsorted(np.flatnonzero(masked), np.append(first, n)).astype(np.int32)
     lists = [pa.ListArray.from_arrays(pa.array(spans), pa.array((x - base)[masked])) for x in (starts[:, 3], ends[:, 3])]
-    return pa.record_batch([conv.take(pa.array(first)), formatted, *lists], schema=_SCHEMA)
+    return pa.record_batch([conv.take(pa.array(first)), pa.array([part] + [0] * (len(first) - 1)), formatted, *lists], schema=_SCHEMA)
+
+
+def _key(batch: pa.RecordBatch, k: int) -> int | None:
+    return batch.column("conv_id")[k].as_py()
 
 
 def _format(batches):
-    held: list[pa.RecordBatch] = []  # the turns of the conversation that may go on in the next batch
+    held: list[pa.RecordBatch] = []  # turns of the conversation that may go on in the next batch
+    size, part = 0, 0  # their bytes, and the parts before them
     for batch in slices(slices(batches, "text"), "role"):
         key, null = batch.column("conv_id").fill_null(0).to_numpy(), batch.column("conv_id").is_null().to_numpy(zero_copy_only=False)
-        if held and (held[-1].column("conv_id")[0].as_py() != batch.column("conv_id")[0].as_py()):
-            yield assemble(pa.concat_batches(held))
-            held = []
+        if (held or part) and last != _key(batch, 0):
+            if held:
+                yield assemble(pa.concat_batches(held), part)
+            held, size, part = [], 0, 0
+        last = _key(batch, batch.num_rows - 1)
         change = np.flatnonzero((key[1:] != key[:-1]) | (null[1:] != null[:-1]))
         if len(change):
-            yield assemble(pa.concat_batches([*held, batch.slice(0, change[-1] + 1)]))
-            held = []
+            yield assemble(pa.concat_batches([*held, batch.slice(0, change[-1] + 1)]), part)
+            held, size, part = [], 0, 0
             batch = batch.slice(change[-1] + 1)
         held.append(batch)
+        size += sum(pc.sum(pc.binary_length(batch.column(c))).as_py() or 0 for c in ("role", "text"))
+        if size >= PART_BYTES:
+            yield assemble(pa.concat_batches(held), part)
+            held, size, part = [], 0, part + 1
     if held:
-        yield assemble(pa.concat_batches(held))
+        yield assemble(pa.concat_batches(held), part)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, and the byte spans of ``formatted`` that are under the loss mask.
+    """A row per conversation: conv_id, part, formatted, and the byte spans of ``formatted`` that are under the loss mask.
 
-    Turns go by turn, then role and text; nulls come first. Null role or text counts as empty; null conv_id is a
+    A conversation longer than PART_BYTES has several rows of whole turns, with parts 0, 1, ...; a conversation's rows are
+    in one partition, in order. Turns go by turn, then role and text; nulls come first. Null role or text counts as empty; null conv_id is a
     conversation of its own. A turn without text still has its marks. Repeated rows are repeated turns. An empty table
     gives no rows; further columns are ignored.
     """
@@ -117,21 +133,48 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+class _Digest:
+    """What a reader finds in a conversation, part after part."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
+        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, formatted: str, spans: Iterator[tuple[int, int]]) -> None:
+        for role, text in parse(formatted):
+            self.turns += 1
+            self.said.update(f"{role}\n{text}\n".encode())
+        raw = formatted.encode()
+        for a, b in spans:
+            text = unescape(raw[a:b].decode())
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
+        self.chars += len(formatted)
+
+    def row(self) -> tuple:
+        return self.conv_id, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
 def _digest(batches):
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    whole = lambda rows: pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    now: _Digest | None = None
     for batch in batches:
         rows = []
         for x in batch.to_pylist():
-            turns, raw = parse(x["formatted"]), x["formatted"].encode()
-            loss = "".join(unescape(raw[a:b].decode()) for a, b in zip(x["loss_start"], x["loss_end"], strict=True))
-            said = "".join(f"{role}\n{text}\n" for role, text in turns)
-            rows.append((x["conv_id"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(x["formatted"])))
+            if x["part"] == 0:
+                if now:
+                    rows.append(now.row())
+                now = _Digest(x["conv_id"])
+            now.add(x["formatted"], zip(x["loss_start"], x["loss_end"], strict=True))
         if rows:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield whole(rows)
+    if now:
+        yield whole([now.row()])
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What a reader finds in the formatted conversations."""
+    """What a reader finds in the formatted conversations, which stand as format_chats gives them: parts in order, side by side."""
     return chats.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
