@@ -1,30 +1,48 @@
 """Chains of words run in step: dynamic programming over many texts at once, one word position after another.
 
-Texts are ordered by length, so the texts that still have a word at position t are a prefix of the arrays. Time is
-the number of words, memory a few numbers a word; no text is padded.
+A long text is cut into parts. What a part does to any state at its start is a small matrix, so the parts of a text are
+first run side by side from every state, then joined by their matrices, and only then run with the states that hold.
+Parts are ordered by length, so those that still have a word at position t are a prefix of the arrays. Steps are
+the words of the longest part, memory a few numbers a word; nothing is padded.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Words of a part.
+PART = 2048
+
 
 class Lockstep:
-    def __init__(self, offsets: np.ndarray):
-        sizes = np.diff(offsets)
+    """Runs over the parts of chains; ``offsets`` are the chains' bounds."""
+
+    def __init__(self, offsets: np.ndarray, part: int | None = None):
+        part = part or PART
+        chain_sizes = np.diff(offsets)
+        cuts = np.maximum(-(-chain_sizes // part), 1)
+        chain = np.repeat(np.arange(len(chain_sizes)), cuts)
+        nth = np.arange(len(chain)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        starts = offsets[:-1][chain] + nth * part
+        sizes = np.minimum(offsets[1:][chain] - starts, part)
         order = np.argsort(-sizes, kind="stable")
-        self.starts, self.sizes = offsets[:-1][order], sizes[order]
+        self.starts, self.sizes, self.first = starts[order], sizes[order], nth[order] == 0
         self.steps = int(sizes.max(initial=0))
-        #: texts with more than t words
+        #: parts with more than t words
         self.live = np.searchsorted(-self.sizes, -np.arange(self.steps), side="left")
+        #: where the parts of each long chain stand, by their place in it: rows (chains that have such a part, the part, the part before)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        later = np.flatnonzero(nth)
+        self.joins = [(place[x], place[x - 1]) for k in range(1, int(cuts.max(initial=1))) if len(x := later[nth[later] == k])]
 
     def forward(self):
-        """(live texts, position of each one's t-th word) for t = 0, 1, ..."""
+        """(live parts, position of each one's t-th word) for t = 0, 1, ..."""
         for k, t in zip(self.live.tolist(), range(self.steps), strict=True):
             yield k, self.starts[:k] + t
 
     def backward(self):
-        """(live texts, live texts one word later, position of each one's t-th word) for t = last, ..., 0."""
+        """(live parts, live parts one word later, position of each one's t-th word) for t = last, ..., 0."""
         later = 0
         for k, t in zip(self.live[::-1].tolist(), range(self.steps - 1, -1, -1), strict=True):
             yield k, later, self.starts[:k] + t
@@ -35,18 +53,39 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.ndarr
     """The best label of each word where a change of label costs ``penalty``; ties go to the lower label and to no change."""
     n, labels = scores.shape
     run = Lockstep(offsets)
-    best = np.zeros((len(run.starts), labels), np.float32)
-    came, stayed = np.zeros(n, np.int16), np.zeros((n, labels), bool)
+    best = np.zeros((len(run.starts), labels))
+    if run.joins:
+        # through[p, a, b]: the best score of part p that ends in label b, if the word before it had label a; what
+        # another part follows is as long as a part can be, and so comes first
+        whole = int(run.live[-1])
+        through = np.zeros((whole, labels, labels))
+        through[~run.first[:whole]] = np.where(np.eye(labels, dtype=bool), 0, -np.inf)
+        for t, (_, at) in enumerate(run.forward()):
+            switched = np.maximum(through, through.max(2, keepdims=True) - penalty)
+            through = (switched if t else np.where(run.first[:whole, None, None], through, switched)) + scores[at[:whole]][:, None, :]
+        for at, before in run.joins:
+            entry = np.where(run.first[before, None], through[before, 0], (best[before][:, :, None] + through[before]).max(1))
+            best[at] = entry - entry.max(1, keepdims=True)
+    came, stayed = np.zeros(n, np.int16), np.ones((n, labels), bool)
+    entering = ~run.first
     for t, (k, at) in enumerate(run.forward()):
         now = best[:k]
-        if t:
-            top = now.argmax(1)
-            switch = (now[np.arange(k), top] - penalty)[:, None]
-            came[at], stayed[at] = top, now >= switch
-            now = np.maximum(now, switch)
-            now -= now.max(1, keepdims=True)
-        best[:k] = now + scores[at]
-    out, label = np.zeros(n, np.int16), best.argmax(1).astype(np.int16)
+        moves = np.ones(k, bool) if t else entering[:k]
+        top = now.argmax(1)
+        switch = (now[np.arange(k), top] - penalty)[:, None]
+        came[at], stayed[at] = top, (now >= switch) | ~moves[:, None]
+        now = np.where(moves[:, None], np.maximum(now, switch), now)
+        best[:k] = now - now.max(1, keepdims=True) + scores[at]
+    last = best.argmax(1)
+    if run.joins:
+        # back[p, b]: the label of the word before part p if the part ends in label b
+        back = np.tile(np.arange(labels), (len(run.starts), 1))
+        for k, _, at in run.backward():
+            now = back[:k]
+            back[:k] = np.where(np.take_along_axis(stayed[at], now, 1), now, came[at][:, None])
+        for at, before in reversed(run.joins):
+            last[before] = back[at, last[at]]
+    out, label = np.zeros(n, np.int16), last.astype(np.int16)
     for _, later, at in run.backward():
         if later:
             after = at[:later] + 1
@@ -65,16 +104,34 @@ def chain_odds(lead: np.ndarray, offsets: np.ndarray, start: float, change: np.n
     run, weight = Lockstep(offsets), np.exp(np.clip(lead, -30, 30))
     step = np.exp(change)
     ahead, back = np.zeros(len(lead)), np.ones(len(lead))
-    odds, ratio = np.zeros(len(run.starts)), np.ones(len(run.starts))
+    odds, ratio = np.full(len(run.starts), np.exp(start)), np.ones(len(run.starts))
+    if run.joins:
+        # through[p]: the product of transitions and words of part p; a first part starts with its word alone
+        through = np.tile(np.eye(2), (len(run.starts), 1, 1))
+        for t, (k, at) in enumerate(run.forward()):
+            now = through[:k] @ step
+            if not t:
+                now[run.first[:k]] = np.eye(2)
+            now[:, :, 1] *= weight[at][:, None]
+            through[:k] = now / now.max((1, 2), keepdims=True)
+        for at, before in run.joins:
+            came = odds[before]
+            m = through[before]
+            odds[at] = (m[:, 0, 1] + came * m[:, 1, 1]) / (m[:, 0, 0] + came * m[:, 1, 0])
+        for at, before in reversed(run.joins):
+            m, after = through[at], ratio[at]
+            ratio[before] = (m[:, 1, 0] + m[:, 1, 1] * after) / (m[:, 0, 0] + m[:, 0, 1] * after)
+    bounded = lambda x: np.minimum(np.maximum(x, 1e-12), 1e12)
+    entering = ~run.first
     for t, (k, at) in enumerate(run.forward()):
         before = odds[:k]
-        now = weight[at] * ((step[0, 1] + before * step[1, 1]) / (step[0, 0] + before * step[1, 0]) if t else np.exp(start))
-        odds[:k] = np.minimum(np.maximum(now, 1e-12), 1e12)
+        moved = (step[0, 1] + before * step[1, 1]) / (step[0, 0] + before * step[1, 0])
+        odds[:k] = bounded(weight[at] * (moved if t else np.where(entering[:k], moved, before)))
         ahead[at] = odds[:k]
     for _, later, at in run.backward():
         if later:
             after = ratio[:later] * weight[at[:later] + 1]
-            ratio[:later] = np.minimum(np.maximum((step[1, 0] + step[1, 1] * after) / (step[0, 0] + step[0, 1] * after), 1e-12), 1e12)
+            ratio[:later] = bounded((step[1, 0] + step[1, 1] * after) / (step[0, 0] + step[0, 1] * after))
         back[at] = ratio[: len(at)]
     return ahead, back
 

@@ -9,13 +9,13 @@ The model is fitted on a bounded sample of labelled rows and is itself bounded:
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,7 +45,8 @@ OTHER = len(SCRIPTS)
 _RANGES = sorted((a, b, k) for k, ranges in enumerate(SCRIPTS.values()) for a, b in ranges)
 _FROM, _TO, _SCRIPT = (np.array(x) for x in zip(*_RANGES, strict=True))
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is what Unicode puts into category L; numbers such as fractions and Roman numerals are none.
+_LETTER = regex.compile(r"\p{L}")
 ORDERS = (1, 2, 3)
 #: Words whose character n-grams are held at once, and bytes of text that are learned from at once.
 SCORED_WORDS, LEARNED_BYTES = 1 << 14, 1 << 20
@@ -172,13 +173,20 @@ def _spans(model) -> Callable:
     return run
 
 
-def language_spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """A row per run of words in one language: doc_id, first_word, end_word (exclusive), lang. Texts without words have none."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_spans(shared), "doc_id long, first_word long, end_word long, lang string")
+def language_spans(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """A row per run of words in one language: doc_id, first_word, end_word (exclusive), lang.
+
+    Words are what ASCII white space parts; those without a letter go with their neighbours. Null and empty texts have
+    no row, and no text has one if there is no model. Null ids and repeated rows have their rows each; an empty table gives
+    none; further columns are ignored.
+    """
+    texts, schema = docs.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id long, first_word long, end_word long, lang string"
+    if model is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return texts.mapInArrow(_spans(docs.sparkSession.sparkContext.broadcast(model)), schema)
 
 
-def _predict(model) -> Callable:
+def _predict(model, names: tuple[str, str]) -> Callable:
     def run(batches):
         m: LanguageModel | None = model.value
         for batch in slices(batches, "text", m.config.slice_bytes if m else 1 << 22):
@@ -192,25 +200,25 @@ def _predict(model) -> Callable:
                 top = votes.argmax(1)
                 score = np.where(known, votes.max(1) / np.maximum(total, 1), 0.0)
                 pred = [m.langs[k] if ok else "und" for k, ok in zip(top.tolist(), known.tolist(), strict=True)]
-            made = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)}
+            made = dict(zip(names, (pa.array(pred, pa.string()), pa.array(score)), strict=True))
             yield pa.record_batch([*batch.columns, *made.values()], names=[*batch.schema.names, *made])
 
     return run
 
 
-def with_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """``docs`` with lang_pred and score (the share of the words with letters that are in lang_pred).
+def with_language(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score (or ``names``): the language, and the share of the words with letters that are in it.
 
     ``und`` with score 0 where text is null or has no letter, or no row could be learned from. Ties go to the language
     first in order. An empty table gives no rows; null ids and repeated rows stay as they are; columns of docs that are
-    called lang_pred or score are replaced.
+    called as the new ones are replaced.
     """
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(*names)
     given = rows.withColumn("text", F.col("text").cast("string")).withColumn("ampline_text_is_null", F.col("text").isNull())
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType(list(given.schema.fields)).add("lang_pred", "string").add("score", "double")
-    out = given.mapInArrow(_predict(shared), schema)
-    return out.withColumn("text", F.when(~F.col("ampline_text_is_null"), F.col("text"))).select(*rows.columns, "lang_pred", "score")
+    schema = StructType(list(given.schema.fields)).add(names[0], "string").add(names[1], "double")
+    out = given.mapInArrow(_predict(shared, names), schema)
+    return out.withColumn("text", F.when(~F.col("ampline_text_is_null"), F.col("text"))).select(*rows.columns, *names)
 
 
 def _lettered(batches):

@@ -158,7 +158,7 @@ def fit_rows(texts: list[str], toxic: np.ndarray, shares: tuple[float, float], c
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel | None:
-    """Learns from the labelled documents (labels: doc_id, toxic 0/1; of repeated labels the largest holds)."""
+    """Learns from the labelled documents (labels: doc_id, toxic 0/1; of repeated labels the largest holds, of repeated ids the least text)."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("label_id"), "toxic").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {c: min(1.0, config.sample_rows / max(1, n.get(c, 0))) for c in (0, 1)}
@@ -166,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     drawn = known.where(place < F.when(F.col("toxic") == 1, int(share[1] * 2**30)).otherwise(int(share[0] * 2**30)))
     # at most a few thousand ids, by the sample's bound
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id"))
-    rows = texts.where(F.length("text") <= config.sample_chars).select("text", "toxic").toPandas()
+    # one text for each id, however often it is repeated
+    rows = texts.where(F.length("text") <= config.sample_chars).groupBy("label_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("label_id")
     return fit_rows(rows["text"].tolist(), rows["toxic"].to_numpy(), (1 / share[0], 1 / share[1]), config)
 
 
@@ -217,10 +218,17 @@ def _find(model) -> Callable:
     return run
 
 
-def toxic_spans(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """A row per run of toxic words: doc_id, first and end character offset, the largest marginal in it."""
+def toxic_spans(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
+    """A row per run of toxic words: doc_id, first and end character offset, the largest marginal in it.
+
+    Null and empty texts have no row, and no text has one if nothing could be learned. Null ids and repeated rows have
+    their rows each; an empty table gives none; further columns are ignored.
+    """
+    schema = "doc_id long, start long, end long, marginal double"
+    if model is None:
+        return docs.sparkSession.createDataFrame([], schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_find(shared), "doc_id long, start long, end long, marginal double")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_find(shared), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

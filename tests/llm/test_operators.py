@@ -7,9 +7,11 @@ import zlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ampline.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language, license_scan, mixing, registry, token_counts, token_files, toxicity
+from ampline.llm.common import slices
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [None, "", "  \n ", "Hello, World!", "hello, world!", "ΣΑΣ it's<|endoftext|>ok", "word " * 20_000, "été Ünï £5 naïve", "Hello, World!"]
@@ -90,16 +92,42 @@ def test_mix_meets_its_quotas(spark):
     assert max(r.quota / r.tokens for r in plan.values()) <= mixing.MixConfig().repeats + 1e-6
 
 
-def test_chats_come_back(spark):
+@pytest.mark.parametrize("part_bytes", [32 << 20, 12])
+def test_chats_come_back(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(chat_format, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(chat_format, "slices", lambda batches, column: slices(batches, column, 8))
     tricky = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "", None, "a\nb", "<\\\\|", "été"]
-    turns = [(c, t, ("user", "assistant", "odd\nrole\\", None)[(c + t) % 4], tricky[(c * 3 + t) % 7]) for c in range(6) for t in range(5)] + [(None, 1, "user", "x")]
-    made = chat_format.format_chats(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()
-    assert len(made) == 7
-    for r in made:
-        want = [(x[2] or "", x[3] or "") for x in turns if x[0] == r.conv_id]
-        assert chat_format.parse(r.formatted) == want
+    turns = [(c, t, ("user", "assistant", "odd\nrole\\", None)[(c + t) % 4], tricky[(c * 3 + t) % 7]) for c in range(6) for t in range(5)] + [(None, 1, "user", "x"), (None, 2, "assistant", "y")]
+    turns += [(9, 1, "user", "same"), (9, 1, "user", "same"), (10, None, "assistant", "z" * 50), (10, None, "assistant", "z" * 50)]
+    rows = spark.createDataFrame([(*x, 7) for x in turns], "conv_id long, turn int, role string, text string, part int")
+    if part_bytes == 12:  # in this process, where the small sizes hold
+        first = lambda x: (x is not None, x)
+        ordered = sorted(turns, key=lambda x: (first(x[0]), first(x[1]), x[2] or "", x[3] or ""))
+        turn_rows = pa.table({"conv_id": pa.array([x[0] for x in ordered], pa.int64()), "role": [x[2] or "" for x in ordered], "text": [x[3] or "" for x in ordered]})
+        made = list(chat_format._format(turn_rows.to_batches(max_chunksize=3)))
+        read = [Row(**x) for b in made for x in b.to_pylist()]
+        digested = [Row(**x) for b in chat_format._digest(made) for x in b.to_pylist()]
+    else:
+        made = chat_format.format_chats(rows)
+        read, digested = made.collect(), chat_format.digests(made).collect()
+    found = {}
+    for r in read:
         raw = r.formatted.encode()
-        assert [chat_format.unescape(raw[a:b].decode()) for a, b in zip(r.loss_start, r.loss_end, strict=True)] == [t for role, t in want if role == "assistant"]
+        x = found.setdefault(r.conv_id, [[], [], 0, 0])
+        assert r.part == x[3]
+        x[0] += chat_format.parse(r.formatted)
+        x[1] += [chat_format.unescape(raw[a:b].decode()) for a, b in zip(r.loss_start, r.loss_end, strict=True)]
+        x[2], x[3] = x[2] + len(r.formatted), x[3] + 1
+    assert (max(x[3] for x in found.values()) > 1) == (part_bytes == 12)
+    want = {}
+    for c, _, role, text in turns:
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert {c: x[0] for c, x in found.items()} == want
+    said = {c: [t for role, t in x if role == "assistant"] for c, x in want.items()}
+    assert {c: x[1] for c, x in found.items()} == said
+    hexed = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    digests = {r.conv_id: tuple(r)[1:] for r in digested}
+    assert digests == {c: (len(x), hexed("".join(f"{role}\n{t}\n" for role, t in x)), len("".join(said[c])), hexed("".join(said[c])), found[c][2]) for c, x in want.items()}
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -166,6 +194,9 @@ def test_leaks_are_those_of_full_alignment(spark, monkeypatch, block_chars, piec
     want = {k: leaked(items, t, config) for k, t in enumerate(texts)}
     assert sum(map(bool, want.values())) > 10
     assert {r.doc_id: r.leaked_items for r in flagged.collect()} == want
+    index = decontaminate.BenchmarkIndex(items, config)  # in this process, where the small size holds
+    here = index.find(*decontaminate.normalised(pa.array([t or "" for t in texts])))
+    assert here[:, :2].tolist() == [[k, i] for k, x in want.items() for i in x]
     found = decontaminate.find_leaks(docs, benchmark, config).collect()
     assert sorted((r.doc_id, r.item_id) for r in found) == [(k, i) for k, x in want.items() for i in x]
     for r in found:
@@ -286,3 +317,47 @@ def test_word_ids_are_the_tokenizers():
     want = [[*encoder.tokenizer.encode(x, add_special_tokens=False).ids, 2] for x in texts]
     assert sizes.tolist() == [len(x) for x in want]
     assert flat.tolist() == [i for x in want for i in x]
+
+
+def test_toxic_runs_are_found_in_place(docs, empty):
+    fine, bad = ["fine day to walk", "walk to the day", "the fine walk"], ["you slime", "slime you vermin", "vermin slime"]
+    model = toxicity.fit_rows([f"{fine[k % 3]} {bad[k % 3] if k % 2 else ''}" for k in range(120)], [k % 2 for k in range(120)], (1, 1))
+    text = "the  fine\nday slime vermin walk (slime) to"
+    rows = docs.sparkSession.createDataFrame([(1, text, 0), (None, "slime", 0), (1, text, 0), (2, None, 0), (3, "", 0), (4, "fine walk", 0)], "doc_id long, text string, start int")
+    got = sorted(((r.doc_id, text[r.start : r.end] if r.doc_id else "") for r in toxicity.toxic_spans(rows, model).collect()), key=str)
+    assert got == sorted([(1, "slime vermin"), (1, "(slime)")] * 2 + [(None, "")], key=str)
+    assert toxicity.toxic_spans(rows, None).count() == 0
+    assert toxicity.toxic_spans(empty, model).count() == 0
+
+
+def test_one_text_of_a_repeated_id_is_learned_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_rows", lambda texts, toxic, shares, config: seen.append(sorted(zip(texts, toxic, strict=True))))
+    rows = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    toxicity.fit(rows, spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int"))
+    assert seen == [[("a", 1), ("c", 0)]]
+
+
+def test_languages_of_a_mixed_text_come_out_as_spans(spark, docs, empty):
+    train = spark.createDataFrame([(k, t, lang) for k in range(40) for t, lang in (("the thing that they think with", "en"), ("слово и дело что было", "ru"), ("que los señores están aquí", "es"))], "doc_id long, text string, lang string")
+    model = language.fit(train)
+    text = "they think that the thing 12 , слово было дело 7 que los señores están"
+    rows = spark.createDataFrame([(1, text, 1), (2, None, 1), (3, "", 1), (None, "the thing", 1)], "doc_id long, text string, first_word int")
+    got = sorted((r.doc_id or 0, r.first_word, r.end_word, r.lang) for r in language.language_spans(rows, model).collect())
+    assert [x[3] for x in got] == ["en", "en", "ru", "es"]
+    assert got[0] == (0, 0, 2, "en")
+    assert [x[1] for x in got[1:]] == [0, *(x[2] for x in got[1:3])]
+    assert got[1][2] in (5, 6, 7)
+    assert got[2][2] in (10, 11)
+    assert got[3][2] == 15
+    assert language.language_spans(rows, None).count() == 0
+    assert language.language_spans(empty, model).count() == 0
+
+
+def test_what_has_no_letter_has_no_language(spark):
+    texts = ["½ ²", "Ⅷ ①", "12 _ 3", "½ a", "ß", "中", "̀", "ªx"]
+    model = language.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = spark.createDataFrame([(k, t, 42.0) for k, t in enumerate(texts)], "doc_id long, text string, score double")
+    got = language.with_language(rows, model, ("ampline_lang", "ampline_score")).orderBy("doc_id").collect()
+    assert [r.ampline_lang == "und" for r in got] == [True, True, True, False, False, False, True, False]
+    assert all(r.score == 42.0 and (r.ampline_score == 0) == (r.ampline_lang == "und") for r in got)
