@@ -5,6 +5,7 @@ import random
 import time
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
@@ -227,12 +228,68 @@ def test_exact_duplicates_of_odd_rows(docs, size):
 
 def test_license_notices_are_found_in_place(docs, spark):
     mit = license_scan.TEMPLATES["mit"]
-    texts = [None, "", f"one two {mit} three", mit.replace("hereby", "now"), "the software is provided", mit.lower()]
-    got = [r.licenses for r in license_scan.scan_licenses(table(spark, texts, list(range(6)))).orderBy("doc_id").collect()]
-    assert got == [[], [], ["mit"], ["mit"], [], ["mit"]]
+    texts = [None, "", f"one two {mit} three", mit.replace("hereby", "now"), "the software is provided", mit.lower(), mit.replace(" of ", " * of "), f"{mit} x {license_scan.TEMPLATES['isc']}", "filler words " * 20_000 + mit]
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, licenses string")
+    got = license_scan.scan_licenses(rows).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [[], [], ["mit"], ["mit"], [], ["mit"], ["mit"], ["mit", "isc"], ["mit"]]
+    n = len(mit.split())
+    assert (got[2].first_word, got[2].end_word, got[2].coverage) == ([2], [2 + n], [1.0])
+    assert got[8].first_word == [40_000]
     assert license_scan.patience([1, 2, 3, 4], [1, 3, 4]) == [(0, 0), (2, 1), (3, 2)]
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b, 1):
+            now.append(row[j - 1] + 1 if x == y else max(row[j], now[-1]))
+        row = now
+    return row[-1]
+
+
+def test_patience_gives_an_alignment_no_longer_than_the_longest():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.randrange(12) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        pairs = license_scan.patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(i < i2 and j < j2 for (i, j), (i2, j2) in zip(pairs[:-1], pairs[1:], strict=True))
+        assert len(pairs) <= longest_common(a, b)
+        once = list(dict.fromkeys(a))
+        mixed = once[:]
+        del mixed[len(mixed) // 2 : len(mixed) // 2 + 2]
+        assert len(license_scan.patience(mixed, once)) == longest_common(mixed, once)  # words that occur once
+
+
+def test_the_best_window_covers_no_less_than_windows_at_every_word():
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(30)]
+    notices = {"a": " ".join(rng.choice(words) for _ in range(40)), "b": " ".join(words[:12]), "c": "w1 w2 w3 w4 w5"}
+    t = license_scan.Templates(license_scan.LicenseConfig(templates=notices))
+    found = 0
+    for _ in range(300):
+        k = rng.randrange(3)
+        notice = t.words[k][:]
+        for _ in range(rng.choice([0, 1, 3, 6])):
+            at = rng.randrange(len(notice))
+            notice[at : at + rng.randint(0, 1)] = [rng.choice([-1, rng.randrange(30)])] * rng.randint(0, 1)
+            notice = notice or [0]
+        other = lambda: [rng.choice([-1, -1, rng.randrange(30)]) for _ in range(rng.randint(0, 60))]
+        text = np.array([*other(), *notice, *other(), *(notice if rng.random() < 0.3 else [])])
+        n = len(t.words[k])
+        want = max(len(license_scan.patience(text[p : p + n + 2].tolist(), t.words[k])) for p in range(len(text))) / n
+        share, a, b = t.best(text, k)
+        if want >= t.config.coverage:
+            found += 1
+            assert share >= t.config.coverage
+            assert len(license_scan.patience(text[a:b].tolist(), t.words[k])) / n >= t.config.coverage
+        assert share <= 1
+        if share >= t.config.coverage:
+            assert longest_common(text[a:b].tolist(), t.words[k]) / n >= share - 1e-9
+    assert found > 60
+
+
 def test_language_on_held_out_rows(spark):
     got = language.op8_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
