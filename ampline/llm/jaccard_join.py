@@ -41,6 +41,8 @@ from ampline.llm.components import connected_components
 
 #: The sketch: 2 ** SKETCH_BITS counters, merged in slabs of SLAB.
 SKETCH_BITS, SLAB = 20, 1 << 16
+#: The binary logarithm of the classes of a shingle beyond which its rows are dealt out in parts of about as many.
+HOT = 12
 #: Members of a group, and queries to it, that one task holds at once.
 BLOCK, ASKS = 256, 1024
 #: Ids up to which the list of rows to fetch is broadcast; a longer list is joined by shuffle.
@@ -154,13 +156,13 @@ def _levels(profiles: DataFrame) -> np.ndarray:
     return np.log2(np.maximum(out, 1).astype(float)).astype(np.uint8)
 
 
-def _prefixes(config: JaccardConfig, seed: int, levels) -> Callable:
-    schema = pa.schema([("token", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
+def _prefixes(config: JaccardConfig, seed: int, levels, hot: int) -> Callable:
+    schema = pa.schema([("token", pa.int64()), ("parts", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches, "text"):
-            tokens, c, n = [], [], []
+            tokens, parts, c, n = [], [], [], []
             for s in shingle_sets(batch.column("text"), config.words, seed):
                 p = config.prefix(len(s))
                 if not p or (name := _class_of(s, seed)[0]) in seen:
@@ -171,11 +173,12 @@ def _prefixes(config: JaccardConfig, seed: int, levels) -> Callable:
                 first = np.argsort(level, kind="stable")[:p]
                 first = first[level[first] > 0] if not level.all() else first
                 tokens.append(s[first])
+                parts.append(np.int64(1) << np.maximum(level[first].astype(np.int64) - hot, 0))
                 c.append(name)
                 n.append(len(s))
             if tokens:
                 each = list(map(len, tokens))
-                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(c, np.int64), each)), pa.array(np.repeat(np.array(n, np.int64), each))], schema=schema)
+                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(c, np.int64), each)), pa.array(np.repeat(np.array(n, np.int64), each))], schema=schema)
 
     return run
 
@@ -318,6 +321,13 @@ def _profiles(texts: DataFrame, config: JaccardConfig) -> tuple[DataFrame, DataF
     raise RuntimeError("no seed keeps the names of different sets apart")
 
 
+def _hot(rows: DataFrame, low: str, high: str, where: str) -> DataFrame:
+    """The rows that are dealt out in parts, with low and high of all parts of their shingle; there are few such shingles."""
+    hot = rows.where("part is not null")
+    ends = hot.groupBy("token").agg(F.min(low).alias(low), F.max(high).alias(high)).where(where)
+    return hot.drop(low, high).join(ends, "token")
+
+
 def similar_components(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the least doc_id that links lead to, itself included).
 
@@ -330,13 +340,16 @@ def similar_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     profiles, classes, seed = _profiles(texts, config)
     levels = spark.sparkContext.broadcast(_levels(profiles))
 
-    rare = texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(config, seed, levels), "token long, c long, n long")
-    whole = Window.partitionBy("token")
+    rare = texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(config, seed, levels, HOT), "token long, parts long, c long, n long")
+    # the sketch counts no shingle too low, so a part holds few rows; its ends are joined to the shingle's
+    dealt = rare.select("token", "c", "n", F.when(F.col("parts") > 1, F.expr("pmod(xxhash64(c), parts)")).alias("part"))
+    whole = Window.partitionBy("token", "part")
     # a class comes once from each task at most, so one shuffle serves both the distinct rows and the leaders
-    distinct = rare.repartition(n_shuffle(spark), "token").dropDuplicates(["token", "c", "n"])
+    distinct = dealt.repartition(n_shuffle(spark), "token", "part").dropDuplicates(["token", "part", "c", "n"])
     led = distinct.withColumn("leader", F.min(F.struct("c", "n")).over(whole)).withColumn("last", F.max("c").over(whole))
-    store = Stored(led.where("leader.c <> last").selectExpr("token", "c", "n", "leader.c as leader", "leader.n as leader_n"), "matrix")
-    matrix = store.df
+    store = Stored(led.where("part is not null or leader.c <> last"), "matrix")
+    columns = ["token", "part", "c", "n", F.col("leader.c").alias("leader"), F.col("leader.n").alias("leader_n")]
+    matrix = store.df.where("part is null").select(columns).union(_hot(store.df, "leader", "last", "leader.c <> last").select(columns))
 
     fits = f"c <> leader and {config.den} * least(n, leader_n) >= {config.num} * greatest(n, leader_n)"
     # a leader that shares far fewer of its shingles than a link takes is left to the second round
@@ -358,9 +371,11 @@ def similar_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     places = Stored(grouped.join(sizes, "g").join(mains, "g", "left").join(labels, "c", "left").select("c", "g", "size", F.coalesce("label", "c").alias("label"), F.coalesce("main", "g").alias("main")), "places")
     place = places.df
     or_c = [F.coalesce(x, "c").alias(x) for x in ("g", "label", "main")]
-    placed = matrix.join(place, "c", "left").select("token", "c", "n", *or_c, F.coalesce("size", F.lit(1)).alias("size"))
-    open_ = placed.withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).where("low <> high")
-    cells = Stored(open_.select("token", "c", "n", "g", "label", "main", "size"), "cells").df
+    placed = matrix.join(place, "c", "left").select("token", "part", "c", "n", *or_c, F.coalesce("size", F.lit(1)).alias("size"))
+    ends = placed.withColumn("low", F.min("label").over(whole)).withColumn("high", F.max("label").over(whole)).where("part is not null or low <> high")
+    marked = Stored(ends.select("token", "part", "c", "n", "g", "label", "main", "size", "low", "high"), "cells").df
+    columns = ["token", "c", "n", "g", "label", "main", "size"]
+    cells = marked.where("part is null").select(columns).union(_hot(marked, "low", "high", "low <> high").select(columns))
     store.drop()
     groups = cells.groupBy("token", "g", "size", "main").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     asked = groups.select("token", F.col("g").alias("to"), F.col("size").alias("to_size"), F.col("main").alias("to_main"), "least_n", "most_n")

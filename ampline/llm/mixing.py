@@ -41,10 +41,10 @@ class MixConfig:
 
 
 def with_tokens(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """``docs`` with mix_tokens (words), mix_source and mix_hash; null text has no tokens, null source is one source."""
+    """``docs`` with ampline_tokens (words), ampline_source and ampline_hash; null text has no tokens, null source is one source."""
     words = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
     place = F.xxhash64(F.lit(config.seed), "doc_id", "text")
-    return docs.withColumns({"mix_tokens": words, "mix_source": F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit(""))), "mix_hash": place})
+    return docs.withColumns({"ampline_tokens": words, "ampline_source": F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit(""))), "ampline_hash": place})
 
 
 def _block(at: str) -> F.Column:
@@ -87,7 +87,7 @@ def exponent(sources: DataFrame, total: int, config: MixConfig) -> float:
 def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """A row per source with tokens: mix_source, tokens, weight, quota, epochs, cutoff (null: no part of an epoch)."""
     rows = with_tokens(docs.select("doc_id", "text", "source"), config)
-    parts = rows.select("mix_source", "mix_tokens", "mix_hash").withColumn("block", _block("mix_hash"))
+    parts = rows.select(F.col("ampline_source").alias("mix_source"), F.col("ampline_tokens").alias("mix_tokens"), F.col("ampline_hash").alias("mix_hash")).withColumn("block", _block("mix_hash"))
     light = Stored(parts, "mix-rows").df
     blocks = Stored(light.groupBy("mix_source", "block").agg(F.sum("mix_tokens").alias("tokens")), "mix-blocks").df
     sources = Stored(blocks.groupBy("mix_source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "mix-sources").df
@@ -112,22 +112,32 @@ def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     return Stored(epochs.join(cut, "mix_source", "left").select("mix_source", "tokens", "weight", "quota", "epochs", "cutoff"), "mix-plan").df
 
 
+#: What ``draw`` adds to each row, and what ``mix`` calls it.
+DRAWN = {"ampline_tokens": "mix_tokens", "ampline_epoch": "mix_epoch", "ampline_block": "mix_block", "ampline_place": "mix_place"}
+
+
+def draw(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
+    """As ``mix``; what it adds has private names, so that no column of ``docs`` is replaced."""
+    plan = mix_plan(docs, config).select(F.col("mix_source").alias("ampline_of"), "epochs", "cutoff")
+    few = plan.count() <= BROADCAST_SOURCES
+    plan = plan.select("ampline_of", F.struct("epochs", "cutoff").alias("ampline_plan"))
+    rows = with_tokens(docs, config)
+    drawn = rows.join(F.broadcast(plan) if few else plan, F.col("ampline_source") == F.col("ampline_of"))
+    times = F.col("ampline_plan.epochs") + F.when(F.col("ampline_hash") <= F.col("ampline_plan.cutoff"), 1).otherwise(0)
+    copies = drawn.withColumn("ampline_times", times).where("ampline_times > 0").withColumn("ampline_epoch", F.explode(F.expr("sequence(0L, ampline_times - 1)")))
+    placed = copies.withColumn("ampline_place", F.xxhash64(F.lit(config.seed + 1), "ampline_hash", "ampline_epoch")).withColumn("ampline_block", _block("ampline_place"))
+    return placed.select(*docs.columns, *DRAWN)
+
+
 def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The drawn rows: each row of ``docs`` as often as the plan says, with mix_tokens, mix_epoch, mix_block and mix_place.
 
     mix_block and then mix_place order the mix: every block holds a like share of each source. A source's tokens exceed
     its quota by less than one document (or one group of repeated rows, which have the same place). Rows of a source
     without tokens are not drawn. A null source is a source of its own; a null doc_id is an id; an empty table gives no
-    rows. Further columns stay, but for those that start with mix_.
+    rows. Further columns stay; one that is called as one of the four is replaced.
     """
-    plan = mix_plan(docs, config).select(F.col("mix_source").alias("mix_of"), "epochs", "cutoff")
-    few = plan.count() <= BROADCAST_SOURCES
-    rows = with_tokens(docs, config)
-    drawn = rows.join(F.broadcast(plan) if few else plan, F.col("mix_source") == F.col("mix_of"))
-    times = F.col("epochs") + F.when(F.col("mix_hash") <= F.col("cutoff"), 1).otherwise(0)
-    copies = drawn.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_epoch", F.explode(F.expr("sequence(0L, mix_times - 1)")))
-    placed = copies.withColumn("mix_place", F.xxhash64(F.lit(config.seed + 1), "mix_hash", "mix_epoch")).withColumn("mix_block", _block("mix_place"))
-    return placed.select(*[c for c in docs.columns if not c.startswith("mix_")], "mix_tokens", "mix_epoch", "mix_block", "mix_place")
+    return draw(docs.drop(*DRAWN.values()), config).withColumnsRenamed(DRAWN)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

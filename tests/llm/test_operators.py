@@ -93,6 +93,57 @@ def test_mix_meets_its_quotas(spark):
     assert max(r.quota / r.tokens for r in plan.values()) <= mixing.MixConfig().repeats + 1e-6
 
 
+def best_exponent(tokens, config):
+    """The nearest to 1 on a fine grid that reaches the entropy, or the least that keeps the repeat limit if that is greater."""
+    share = np.array(tokens, float) / sum(tokens)
+    grid = np.arange(0, 1 + 1e-12, 1e-4)
+    weights = share ** grid[:, None]
+    weights /= weights.sum(1, keepdims=True)
+    entropy = -(weights * np.log(weights)).sum(1)
+    repeats = (config.budget * sum(tokens) * weights / np.array(tokens, float)).max(1)
+    reach = grid[entropy >= config.entropy * np.log(len(tokens)) - 1e-9]
+    keep = grid[repeats <= config.repeats]
+    return max(reach.max() if len(reach) else 0.0, keep.min() if len(keep) else 1.0)
+
+
+@pytest.mark.parametrize(("entropy", "repeats", "budget"), [(0.9, 100.0, 1.0), (0.97, 1.5, 1.0), (1.0, 1e9, 0.5), (0.2, 3.0, 2.5), (0.99, 2.0, 3.0)])
+def test_the_mix_is_the_grid_exponents_and_a_plain_sort_draws_it(spark, entropy, repeats, budget):
+    config = mixing.MixConfig(entropy=entropy, repeats=repeats, budget=budget)
+    rng = random.Random(int(entropy * 100))
+    rows = [(k, " ".join(["w"] * rng.randint(1, 9)), rng.choice(["big"] * 20 + ["mid"] * 5 + ["small"]), 1.5) for k in range(400)]
+    rows += [rows[0], rows[0], (None, "a b", None, 0.0), (7, None, "none", 0.0), (8, " ", "none", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_tokens double")
+    tokens = {}
+    for _, text, source, _ in rows:
+        tokens[source] = tokens.get(source, 0) + len((text or "").split())
+    tokens = {s: n for s, n in tokens.items() if n}
+    total, a = sum(tokens.values()), best_exponent(list(tokens.values()), config)
+    plan = {r.mix_source: r for r in mixing.mix_plan(docs, config).collect()}
+    assert set(plan) == {"0" if s is None else f"1{s}" for s in tokens}
+    z = sum((n / total) ** a for n in tokens.values())
+    hashes = {(r.doc_id, r.text, r.source): r.h for r in docs.withColumn("h", F.xxhash64(F.lit(config.seed), "doc_id", "text")).collect()}
+    want = []
+    for s, n in tokens.items():
+        r = plan["0" if s is None else f"1{s}"]
+        assert r.tokens == n
+        assert r.weight == pytest.approx((n / total) ** a / z, abs=2e-3)
+        assert r.quota == int(r.weight * budget * total + 1e-9)
+        mine = sorted((hashes[x[:3]], x) for x in rows if x[2] == s)
+        epochs, rest = divmod(r.quota, n)
+        want += [x for _, x in mine] * epochs
+        taken, cut = 0, None
+        for h, x in mine:
+            if taken >= rest and h != cut:
+                break
+            want.append(x)
+            taken, cut = taken + len((x[1] or "").split()), h
+    drawn = mixing.mix(docs, config)
+    assert drawn.columns == ["doc_id", "text", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_place"]
+    assert sorted((tuple(r)[:3] for r in drawn.collect()), key=repr) == sorted((x[:3] for x in want), key=repr)
+    kept = mixing.draw(docs, config).select(docs.columns).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("part_bytes", [32 << 20, 12])
 def test_chats_come_back(spark, monkeypatch, part_bytes):
     monkeypatch.setattr(chat_format, "PART_BYTES", part_bytes)
@@ -323,8 +374,9 @@ def components(rows, k, num):
     return {i: (len(s), top(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "num", "block", "asks"), [(3, 90, 256, 1024), (5, 80, 3, 2)])
-def test_components_are_those_of_all_pairs(spark, monkeypatch, k, num, block, asks):
+@pytest.mark.parametrize(("k", "num", "block", "asks", "hot"), [(3, 90, 256, 1024, 12), (5, 80, 3, 2, 1)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, k, num, block, asks, hot):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "ASKS", asks)
     rng = random.Random(5)
