@@ -29,9 +29,11 @@ class DetectorConfig:
     #: Predecessors, and least stored features, that an early answer looks at.
     early_radius: int = 7
     early_least: int = 4
-    #: What an event removes from the window: up to the end of the interval first found, or of the tightened one, or
-    #: that with the start moved by one less, which shifts later positions.
+    #: What an event removes from the window: up to the end of the interval first found (forward), or of the tightened
+    #: one (backward), or one feature more than that while later positions are told as if it were not (v1).
     trim: str = "forward"
+    #: What is added to the middle of the reported interval; 0 in the answers of the batch detectors.
+    point_shift: int = 1
     #: Whether a batch that never comes blocks all later ones; otherwise it counts as bad after late_batches.
     strict_block: bool = False
     #: Whether the window is tested for its size only when a feature arrives, not for each feature set in order.

@@ -6,7 +6,7 @@ volts and amperes; as each adds filler squared to all three sums, none has to be
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampline.config import DetectorConfig
@@ -68,41 +68,45 @@ def flushed_slots(samples: DataFrame, config: DetectorConfig, at_end: bool = Fal
     A slot gathers a batch's samples over responses. It is closed after the response with which it holds exactly
     samples_per_feature, or once late_batches responses have come since its own; later samples are left to ``stragglers``.
     Of a slot with too many samples the first count. Slots that no response closes are left out, unless ``at_end``.
+
+    The samples are summed by response once; slots are closed on these sums. Samples themselves are looked at again only
+    for a response that brings a slot more than it takes.
     """
-    keyed = samples.withColumn("seq", batch_id("i", config.samples_per_feature))
-    times = _slot_times(keyed, config, at_end)
-    taken = keyed.join(times, ["stream_id", "seq"]).where("arrival <= flush_at")
     size = config.samples_per_feature
-    over = taken.where(F.col("held") > size).withColumn("at", F.row_number().over(_by_arrival())).where(F.col("at") <= size).drop("at")
-    kept = taken.where(F.col("held") <= size).unionByName(over)
-    return features_from_sums(sums(kept, "stream_id", "seq", "flush_at"), config, fill=True).withColumn("is_bad", quality(config))
+    grown = _grown(_keyed(samples, config), config, at_end).where("arrival <= flush_at")
+    whole = grown.where(F.col("held") <= size).select("stream_id", "seq", "flush_at", "n_samples", *_SUMS)
+    crossed = grown.where((F.col("held") > size) & (F.col("held") - F.col("n_samples") < size))
+    left = crossed.select("stream_id", "seq", "arrival", "flush_at", (F.lit(size) - F.col("held") + F.col("n_samples")).alias("left"))
+    nth = F.row_number().over(Window.partitionBy("stream_id", "seq", "arrival").orderBy("pos"))
+    over = _keyed(samples, config).join(left, ["stream_id", "seq", "arrival"]).withColumn("nth", nth).where(F.col("nth") <= F.col("left"))
+    both = whole.unionByName(sums(over, "stream_id", "seq", "flush_at"))
+    totals = both.groupBy("stream_id", "seq", "flush_at").agg(*[F.sum(x).alias(x) for x in ("n_samples", *_SUMS)])
+    return features_from_sums(totals, config, fill=True).withColumn("is_bad", quality(config))
 
 
-def stragglers(samples: DataFrame, config: DetectorConfig) -> DataFrame:
-    """Samples that come after their slot was closed."""
-    keyed = samples.withColumn("seq", batch_id("i", config.samples_per_feature))
-    return keyed.join(_slot_times(keyed, config, False), ["stream_id", "seq"]).where("arrival > flush_at").drop("flush_at", "held")
+def slot_times(samples: DataFrame, config: DetectorConfig, at_end: bool = False) -> DataFrame:
+    """stream_id, seq, flush_at of flushed_slots, without the features."""
+    return _grown(_keyed(samples, config), config, at_end).groupBy("stream_id", "seq").agg(F.min("flush_at").alias("flush_at"))
 
 
-def _by_arrival():
-    from pyspark.sql import Window
+def stragglers(samples: DataFrame, config: DetectorConfig) -> DataFrame:
+    """Samples that come after their slot was closed."""
+    late = _grown(_keyed(samples, config), config, False).where("arrival > flush_at").select("stream_id", "seq", "arrival")
+    return _keyed(samples, config).join(late, ["stream_id", "seq", "arrival"], "left_semi")
 
-    return Window.partitionBy("stream_id", "seq").orderBy("arrival", "pos")
 
+def _keyed(samples: DataFrame, config: DetectorConfig) -> DataFrame:
+    return samples.withColumn("seq", batch_id("i", config.samples_per_feature))
 
-def _slot_times(keyed: DataFrame, config: DetectorConfig, at_end: bool) -> DataFrame:
-    from pyspark.sql import Window
 
-    counts = keyed.groupBy("stream_id", "seq", "arrival").agg(F.count("*").alias("n"))
-    so_far = Window.partitionBy("stream_id", "seq").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    grown = counts.withColumn("held", F.sum("n").over(so_far))
-    whole = F.min(F.when(F.col("held") == config.samples_per_feature, F.col("arrival")))
-    timeout = F.greatest(F.col("seq") + config.late_batches, F.min("arrival"))
-    flush = grown.groupBy("stream_id", "seq").agg(F.least(F.coalesce(whole, timeout), timeout).alias("flush_at"))
+def _grown(keyed: DataFrame, config: DetectorConfig, at_end: bool) -> DataFrame:
+    """Sums by slot and response: stream_id, seq, arrival, n_samples, vv, cc, vc, held (samples so far), flush_at."""
+    slot = Window.partitionBy("stream_id", "seq")
+    so_far = slot.orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sums(keyed, "stream_id", "seq", "arrival").withColumn("held", F.sum("n_samples").over(so_far))
+    whole = F.min(F.when(F.col("held") == config.samples_per_feature, F.col("arrival"))).over(slot)
+    timeout = F.greatest(F.col("seq") + config.late_batches, F.min("arrival").over(slot))
+    closed = rows.withColumn("flush_at", F.least(F.coalesce(whole, timeout), timeout))
     ends = keyed.groupBy("stream_id").agg(F.max("arrival").alias("last"))
-    if at_end:
-        flush = flush.join(ends, "stream_id").select("stream_id", "seq", F.least("flush_at", "last").alias("flush_at"))
-    else:
-        flush = flush.join(ends, "stream_id").where("flush_at <= last").drop("last")
-    held = grown.join(flush, ["stream_id", "seq"]).where("arrival <= flush_at").groupBy("stream_id", "seq", "flush_at").agg(F.max("held").alias("held"))
-    return held
+    joined = closed.join(ends, "stream_id")
+    return (joined.withColumn("flush_at", F.least("flush_at", "last")) if at_end else joined.where("flush_at <= last")).drop("last")

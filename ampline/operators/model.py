@@ -1,44 +1,54 @@
 """The event model over clustered windows: steady state, noise, another steady state.
 
-All by joins and aggregations on the window's keys: pairs of clusters that don't overlap, the noise between them, the
-loss of each pair, and the pair of least loss. The tightening of the interval evaluates all suffixes of a window at once.
+A window is bounded, so its clustered points are brought together once as an array; pairs of clusters that don't overlap,
+the noise between them, the loss of each pair and the pair of least loss are then expressions over that array.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampline.config import DetectorConfig
-from ampline.operators.clustering import cluster_stats, dbscan, local_clusters
+from ampline.functions.scalar import is_local
+from ampline.streaming.kernel import Window, clean_point
 
 WINDOW = ("stream_id", "window_id")
+PAIR = ("c1", "u1", "v1", "c2", "u2", "v2")
 
 
-def cluster_pairs(stats: DataFrame, config: DetectorConfig, *keys: str) -> DataFrame:
+def _paired(clusters: DataFrame, config: DetectorConfig, keys: list[str]) -> DataFrame:
+    """keys, the pair's columns, and ``points``: the window's (seq, cluster_id) by seq."""
+    gathered = clusters.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "cluster_id"))).alias("points"))
+    found = F.array_distinct(F.expr("transform(filter(points, x -> x.cluster_id > 0), x -> x.cluster_id)"))
+    ids = gathered.withColumn("members", F.transform(found, lambda c: F.struct(c.alias("c"), F.transform(F.filter("points", lambda x: x["cluster_id"] == c), lambda x: x["seq"]).alias("at"))))
+    spans = ids.withColumn("spans", F.expr("array_sort(transform(members, m -> named_struct('u', array_min(m.at), 'v', array_max(m.at), 'c', m.c, 'cnt', size(m.at))))"))
+    good = spans.withColumn("good", F.filter("spans", lambda x: is_local(x["cnt"], x["u"], x["v"], config.min_locality)))
+    pairs = F.flatten(F.transform("good", lambda a: F.transform(F.filter("good", lambda b: a["v"] < b["u"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    rows = good.withColumn("pair", F.explode(pairs))
+    return rows.select(*keys, *[F.col(f"pair.{side}.{name}").cast("long").alias(f"{name}{k}") for k, side in ((1, "a"), (2, "b")) for name in ("c", "u", "v")], "points")
+
+
+def _with_noise(clusters: DataFrame, config: DetectorConfig, keys: list[str]) -> DataFrame:
+    rows = _paired(clusters, config, keys).withColumn("noise", F.expr("transform(filter(points, x -> x.cluster_id = 0 and x.seq > v1 and x.seq < u2), x -> x.seq)"))
+    return rows.where(F.size("noise") > 0).withColumns({"first_noise": F.array_min("noise"), "last_noise": F.array_max("noise"), "n_noise": F.size("noise").cast("long")}).drop("noise")
+
+
+def cluster_pairs(clusters: DataFrame, config: DetectorConfig, *keys: str) -> DataFrame:
     """Pairs of local clusters of which the first ends before the second starts."""
-    keys = list(keys or WINDOW)
-    good = local_clusters(stats, config)
-    first = good.select(*keys, *[F.col(c).alias(f"{n}1") for c, n in (("cluster_id", "c"), ("u", "u"), ("v", "v"))])
-    second = good.select(*keys, *[F.col(c).alias(f"{n}2") for c, n in (("cluster_id", "c"), ("u", "u"), ("v", "v"))])
-    return first.join(second, keys).where("u1 < u2 and v1 < u2")
+    return _paired(clusters, config, list(keys or WINDOW)).drop("points")
 
 
-def event_intervals(pairs: DataFrame, clusters: DataFrame, *keys: str) -> DataFrame:
+def event_intervals(clusters: DataFrame, config: DetectorConfig, *keys: str) -> DataFrame:
     """Pairs with noise between them: its first and last position, and how much."""
-    keys = list(keys or WINDOW)
-    noise = clusters.where("cluster_id = 0").select(*keys, F.col("seq").alias("at"))
-    inside = pairs.join(noise, keys).where("v1 < at and at < u2")
-    return inside.groupBy(*keys, "c1", "u1", "v1", "c2", "u2", "v2").agg(F.min("at").alias("first_noise"), F.max("at").alias("last_noise"), F.count("*").alias("n_noise"))
+    return _with_noise(clusters, config, list(keys or WINDOW)).drop("points")
 
 
-def pair_loss(intervals: DataFrame, clusters: DataFrame, *keys: str) -> DataFrame:
-    """Members of the first cluster after the event's start less one, and of the second before its end less one."""
-    keys = list(keys or WINDOW)
-    members = clusters.where("cluster_id > 0").select(*keys, "cluster_id", F.col("seq").alias("member"))
-    lost = F.count_if(((F.col("cluster_id") == F.col("c1")) & (F.col("member") > F.col("first_noise") - 1)) | ((F.col("cluster_id") == F.col("c2")) & (F.col("member") < F.col("last_noise") - 1)))
-    joined = intervals.join(members, keys).where("cluster_id in (c1, c2)")
-    return joined.groupBy(*intervals.columns).agg(lost.alias("loss"))
+def pair_loss(clusters: DataFrame, config: DetectorConfig, *keys: str) -> DataFrame:
+    """As event_intervals, with the members of the first cluster after the event's start less one, and of the second before its end less one."""
+    lost = F.expr("filter(points, x -> (x.cluster_id = c1 and x.seq > first_noise - 1) or (x.cluster_id = c2 and x.seq < last_noise - 1))")
+    return _with_noise(clusters, config, list(keys or WINDOW)).withColumn("loss", F.size(lost).cast("long")).drop("points")
 
 
 def best_pair(losses: DataFrame, config: DetectorConfig, *keys: str) -> DataFrame:
@@ -49,31 +59,22 @@ def best_pair(losses: DataFrame, config: DetectorConfig, *keys: str) -> DataFram
     return top.select(*keys, "top.*").where(F.col("loss") <= config.loss_thresh)
 
 
-def checked(features: DataFrame, config: DetectorConfig, *keys: str) -> DataFrame:
-    """The winning pair of each window that fits the model."""
-    keys = keys or WINDOW
-    clusters = dbscan(features, config, *keys)
-    pairs = cluster_pairs(cluster_stats(clusters, *keys), config, *keys)
-    return best_pair(pair_loss(event_intervals(pairs, clusters, *keys), clusters, *keys), config, *keys)
-
-
 def backward_suffixes(features: DataFrame, config: DetectorConfig) -> DataFrame:
     """The tightened interval of each window with an event.
 
     dropped is the number of oldest features that can go one by one while the rest still fits the model; start and
-    end are the noise interval of the last that does. Every suffix is a window of its own, so all are checked at once.
+    end are the noise interval of the last that does. One grouped pass, a window at a time.
     """
-    found = checked(features, config).select(*WINDOW)
-    hit = features.join(found, list(WINDOW), "left_semi")
-    ranked = hit.withColumn("at", F.row_number().over(_order()) - 1)
-    suffixes = ranked.withColumn("drop", F.explode(F.expr("sequence(0L, cast(at as long))")))
-    passed = checked(suffixes, config, *WINDOW, "drop").select(*WINDOW, "drop", "first_noise", "last_noise")
-    # the drops that pass without a gap: as many smaller ones pass as their number
-    run = passed.withColumn("nth", F.row_number().over(_order("drop")) - 1).where("nth = drop")
-    return run.groupBy(*WINDOW).agg(F.max_by(F.struct("drop", "first_noise", "last_noise"), "drop").alias("x")).select(*WINDOW, F.col("x.drop").alias("dropped"), F.col("x.first_noise").alias("start"), F.col("x.last_noise").alias("end"))
-
-
-def _order(by: str = "seq"):
-    from pyspark.sql import Window
 
-    return Window.partitionBy(*WINDOW).orderBy(by)
+    def tighten(rows: pd.DataFrame) -> pd.DataFrame:
+        window = Window(config)
+        for seq, p, q in zip(rows["seq"], rows["ln_p"], rows["ln_q"], strict=True):
+            window.add(int(seq), clean_point(p, q))
+        found = window.interval()
+        out = []
+        if found:
+            dropped, (start, end) = window.suffixes(found)
+            out.append((*(int(rows[k].iloc[0]) for k in WINDOW), dropped, start, end))
+        return pd.DataFrame(out, columns=[*WINDOW, "dropped", "start", "end"])
+
+    return features.select(*WINDOW, "seq", "ln_p", "ln_q").groupBy(*WINDOW).applyInPandas(tighten, "stream_id long, window_id long, dropped long, start long, end long")

@@ -27,15 +27,15 @@ def quality_counters(samples: DataFrame, config: DetectorConfig) -> DataFrame:
     """
     size = config.samples_per_feature
     off = offset_in_batch("i", "arrival", size)
-    place = Window.partitionBy("stream_id", "arrival", "i").orderBy("pos")
-    before = F.lag("voltage").over(place)
-    rows = samples.withColumn("kind", F.when(off < 0, "delayed").when(off >= size, "early"))
-    fresh = F.when((before.isNotNull()) & (before != config.filler), "duplicate").otherwise("normal")
-    rows = rows.where("kind is not null").unionByName(rows.where("kind is null").withColumn("kind", fresh))
-    count = lambda kind: F.count_if(F.col("kind") == kind)
-    counted = rows.groupBy("stream_id").agg(
-        F.count("*").alias("total"), count("normal").alias("normal"), count("duplicate").alias("duplicates"), count("delayed").alias("delayed"), F.countDistinct("arrival").alias("responses")
-    )
+    kind = F.when(off < 0, "late").when(off >= size, "early").otherwise("placed")
+    kinds = samples.select("stream_id", "arrival", "pos", "voltage", kind.alias("kind"), F.when(off.between(0, size - 1), F.col("i")).alias("place"))
+    # each sample of a place but the last is what another one meets there
+    known = lambda v: F.coalesce(v != config.filler, F.lit(False)).cast("long")
+    places = kinds.groupBy("stream_id", "arrival", "kind", "place").agg(F.count("*").alias("n"), (F.sum(known(F.col("voltage"))) - known(F.max_by("voltage", "pos"))).alias("again"))
+    n = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    again = F.sum(F.when(F.col("kind") == "placed", F.col("again")).otherwise(0))
+    by_response = places.groupBy("stream_id", "arrival").agg(F.sum("n").alias("total"), (n("placed") - again).alias("normal"), again.alias("duplicates"), n("late").alias("delayed"))
+    counted = by_response.groupBy("stream_id").agg(*[F.sum(c).alias(c) for c in ("total", "normal", "duplicates", "delayed")], F.count("*").alias("responses"))
     missing = F.col("responses") * size - F.col("duplicates") - F.col("delayed") - F.col("normal")
     return counted.withColumn("missing", missing).drop("responses")
 

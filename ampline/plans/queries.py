@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ampline.config import FIXTURE as C
 from ampline.functions.scalar import batch_id, event_point, offset_in_batch, result_json
 from ampline.operators import clustering, features, model, order, quality, scoring
-from ampline.sources.samples import dirty, event_samples, from_json_batches, to_json_batches, user_samples
-from ampline.streaming.batch import detect_clean, detect_dirty_fill, detect_dirty_reordered
+from ampline.sources.samples import dirty, event_samples, from_json_batches, meter_samples, to_json_batches, user_samples
+from ampline.streaming.batch import detect_clean, detect_counters, detect_dirty_fill, detect_dirty_reordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLACES = 6
@@ -37,16 +37,12 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.dbscan(windows(spark, sf_dir), C)
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.cluster_pairs(clustering.cluster_stats(_clusters(spark, sf_dir)), C)
-
-
-def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.event_intervals(_pairs(spark, sf_dir), _clusters(spark, sf_dir))
+def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.pair_loss(_clusters(spark, sf_dir), C)
 
 
-def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.pair_loss(_intervals(spark, sf_dir), _clusters(spark, sf_dir))
+def meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meter_samples(spark, sf_dir, C)
 
 
 def _projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +51,16 @@ def _projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("arrival", "pos", "i", batch_id("i", size).alias("seq"), offset_in_batch("i", "arrival", size).alias("offset"))
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = detect_dirty_reordered(disordered(spark, sf_dir), C, finish=True)
-    return scoring.score(answers, scoring.truth_of(detect_clean(clean(spark, sf_dir), C)))
+def _reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_dirty_reordered(dirty(meters(spark, sf_dir)), C, finish=True)
+
+
+def _scores(answers: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(answers, scoring.truth_of(detect_clean(meters(spark, sf_dir), C)))
+
+
+def _bodies(answers: DataFrame) -> DataFrame:
+    return answers.select("stream_id", "s", result_json(F.col("s"), F.col("d"), F.col("event_s")).alias("body"))
 
 
 def power_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +78,7 @@ QUERIES: dict[str, Query] = {
     "feature_quality_flag": lambda s, d: features.gap_filled_features(disordered(s, d), C).select("seq", "n_samples", "is_bad"),
     "slot_flush": lambda s, d: _rounded(features.flushed_slots(disordered(s, d), C)),
     "stragglers": lambda s, d: features.stragglers(disordered(s, d), C).select("arrival", "pos", "i", "seq"),
-    "reorder_frontier": lambda s, d: order.released(features.flushed_slots(disordered(s, d), C)),
+    "reorder_frontier": lambda s, d: order.released(features.slot_times(disordered(s, d), C)),
     "early_answer": lambda s, d: order.early_answers(features.clean_features(clean(s, d), C), C),
     "quality_counters": lambda s, d: quality.quality_counters(disordered(s, d), C),
     "late_samples": lambda s, d: quality.late_samples(disordered(s, d), C).select("arrival", "pos", "i", "lag"),
@@ -91,17 +94,19 @@ QUERIES: dict[str, Query] = {
     "locality_filter": lambda s, d: clustering.local_clusters(clustering.cluster_stats(_clusters(s, d)), C).drop("loc"),
     "cluster_size_histogram": lambda s, d: clustering.cluster_size_histogram(_clusters(s, d)),
     "cluster_kind_counters": lambda s, d: clustering.cluster_kind_counters(_clusters(s, d)),
-    "cluster_pairs": _pairs,
-    "event_intervals": _intervals,
+    "cluster_pairs": lambda s, d: model.cluster_pairs(_clusters(s, d), C),
+    "event_intervals": lambda s, d: model.event_intervals(_clusters(s, d), C),
     "pair_loss": _losses,
     "best_pair": lambda s, d: model.best_pair(_losses(s, d), C),
     "event_point": lambda s, d: model.best_pair(_losses(s, d), C).select("window_id", event_point("first_noise", "last_noise").alias("event_s")),
     "backward_suffix_check": lambda s, d: model.backward_suffixes(windows(s, d), C),
-    "detect_clean": lambda s, d: detect_clean(clean(s, d), C),
+    "detect_clean": lambda s, d: detect_clean(meters(s, d), C),
     "detect_clean_users": lambda s, d: detect_clean(user_samples(s, d, C), C),
-    "detect_dirty_fill": lambda s, d: detect_dirty_fill(disordered(s, d), C),
-    "detect_dirty_reorder": lambda s, d: detect_dirty_reordered(disordered(s, d), C, finish=True),
-    "first_answers": lambda s, d: scoring.first_answers(detect_dirty_reordered(disordered(s, d), C, finish=True)),
-    "result_json": lambda s, d: detect_clean(clean(s, d), C).select("s", result_json(F.col("s"), F.col("d"), F.col("event_s")).alias("body")),
-    "score_results": _scores,
+    "detect_counters": lambda s, d: detect_counters(meters(s, d), C),
+    "detect_dirty_fill": lambda s, d: detect_dirty_fill(dirty(meters(s, d)), C),
+    "detect_dirty_reorder": _reordered,
+    "first_answers": lambda s, d: scoring.first_answers(_reordered(s, d)),
+    "result_json": lambda s, d: _bodies(detect_clean(meters(s, d), C)),
+    "score_results": lambda s, d: _scores(_reordered(s, d), s, d),
+    "score_fill_results": lambda s, d: _scores(detect_dirty_fill(dirty(meters(s, d)), C), s, d),
 }

@@ -28,6 +28,14 @@ def event_samples(spark: SparkSession, sf_dir: str, config: DetectorConfig) -> D
     )
 
 
+def meter_samples(spark: SparkSession, sf_dir: str, config: DetectorConfig, features: int = 200) -> DataFrame:
+    """The ``events`` table as meters of ``features`` batches each: runs of consecutive events, each run a stream of its own."""
+    size = features * config.samples_per_feature
+    rows = event_samples(spark, sf_dir, config)
+    i = F.col("i") % size
+    return rows.select(F.expr(f"i div {size}").alias("stream_id"), F.expr(f"(i % {size}) div {config.samples_per_feature}").alias("arrival"), i.alias("pos"), i.alias("i"), "voltage", "current")
+
+
 def user_samples(spark: SparkSession, sf_dir: str, config: DetectorConfig) -> DataFrame:
     """The ``events`` table as one stream per user, numbered by event_id."""
     from pyspark.sql import Window
@@ -42,10 +50,9 @@ def dirty(samples: DataFrame) -> DataFrame:
     """A dirty stream made of a clean one by fixed rules: one sample in 97 is missing, one in 101 comes twice (the second
     time one volt higher), one in 13 comes up to 22 responses late."""
     i = F.col("i")
-    kept = samples.where(i % 97 != 0)
-    late = kept.withColumn("arrival", F.col("arrival") + F.when(i % 13 == 0, i % 23).otherwise(0)).withColumn("pos", i * 2)
-    again = late.where(i % 101 == 0).withColumn("pos", F.col("pos") + 1).withColumn("voltage", (F.col("voltage") + 1).cast("decimal(18,2)"))
-    return late.unionByName(again)
+    kept = samples.where(i % 97 != 0).withColumn("arrival", F.col("arrival") + F.when(i % 13 == 0, i % 23).otherwise(0))
+    twice = kept.withColumn("again", F.explode(F.when(i % 101 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return twice.withColumns({"pos": i * 2 + F.col("again"), "voltage": (F.col("voltage") + F.col("again")).cast("decimal(18,2)")}).drop("again")
 
 
 def to_json_batches(samples: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _near(a: Point, b: Point, eps: float) -> bool:
     return math.sqrt(dp * dp + dq * dq) <= eps
 
 
-def _point(p: float | None, q: float | None) -> Point:
+def clean_point(p: float | None, q: float | None) -> Point:
     return tuple(None if x is None or math.isnan(x) or math.isinf(x) else float(x) for x in (p, q))
 
 
@@ -79,15 +79,18 @@ class Window:
                     return between[0], between[-1]
         return None
 
-    def tightened(self, interval: tuple[int, int]) -> tuple[int, int]:
-        """The interval of the last suffix that fits, dropping the oldest points one by one."""
-        best = interval
+    def suffixes(self, interval: tuple[int, int]) -> tuple[int, tuple[int, int]]:
+        """How many of the oldest points can go one by one while the rest fits, and the interval of the last rest that does."""
+        best, dropped = interval, 0
         for s in sorted(self.points)[1:]:
             found = self.interval(since=s)
             if found is None:
                 break
-            best = found
-        return best
+            best, dropped = found, dropped + 1
+        return dropped, best
+
+    def tightened(self, interval: tuple[int, int]) -> tuple[int, int]:
+        return self.suffixes(interval)[1]
 
 
 @dataclass
@@ -96,10 +99,11 @@ class Event:
     start: int
     end: int
     removed: int
+    shift: int = 1
 
     @property
     def event_s(self) -> int:
-        return (self.start + self.end) // 2 + 1
+        return (self.start + self.end) // 2 + self.shift
 
 
 @dataclass
@@ -130,13 +134,14 @@ class InOrder:
         if found is None:
             return None
         start, end = self.window.tightened(found)
-        removed = found[1] if self.config.trim == "forward" else end
-        drift = self.drift
-        self.window.drop_through(removed)
+        removed, drift = found[1] if self.config.trim == "forward" else end, self.drift
         if self.config.trim == "v1":
+            removed = min(s for s in self.window.points if s > end)
             self.drift -= 1
+        self.window.drop_through(removed)
         self.counters.events += 1
-        return Event(seq, start + 1 + drift, end + 1 + drift, removed)
+        # positions are told as one more; the window's start may be told as less than it is
+        return Event(seq, start + 1, end + 1, removed, drift + self.config.point_shift)
 
     def reset_if_full(self) -> int | None:
         """Empties a window of more than max_window features, bad ones among them; returns the last position then."""
@@ -163,7 +168,7 @@ class Clean:
         self.inner = InOrder(config)
 
     def feed(self, seq: int, p: float | None, q: float | None, is_bad: bool = False, clock: int = 0) -> list[tuple[int, int, int]]:
-        event = self.inner.add(seq, _point(p, q))
+        event = self.inner.add(seq, clean_point(p, q))
         if event:
             return [(seq, 1, event.event_s)]
         self.inner.reset_if_full()
@@ -219,7 +224,7 @@ class Reordered:
                 del self.recent[s]
 
     def feed(self, seq: int, p: float | None, q: float | None, is_bad: bool = False, clock: int = 0) -> list[tuple[int, int, int]]:
-        point, out = _point(p, q), []
+        point, out = clean_point(p, q), []
         if seq < self.next_seq or seq in self.pending:
             return out  # a second feature of a batch
         wait = self.early(seq, point)
