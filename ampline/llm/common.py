@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once; a longer text is handled alone.
 SLICE_BYTES = 4 << 20
+#: Rows that a Python worker is sent at once, at most; texts are long, and Spark's default counts rows of numbers.
+BATCH_ROWS = 2_000
 
 _own_dir: dict[str, str] = {}
 
@@ -81,6 +84,21 @@ def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps what JVM and Python hold of a table of texts at once small: for pipelines, whose workers go through many stages."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(key))
+    if not 0 < given <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives back to the system what Arrow and the C library keep of freed memory, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``limit`` bytes of the text column; null texts become empty."""
     for batch in batches:
@@ -96,6 +114,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, text
+        release()
 
 
 def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -31,7 +31,7 @@ from ampline.llm.common import Stored, ragged, slices, table
 
 BITMAP_BITS = 22
 #: Pairs of a text's q-gram and a window that are counted at once, and bands that are aligned at once.
-COUNTED, ALIGNED = 1 << 21, 1 << 12
+COUNTED, ALIGNED = 1 << 19, 1 << 12
 #: Characters after which a long item is cut, so that it fits a block; a multiple of the step keeps its windows.
 PIECE = 50_000
 

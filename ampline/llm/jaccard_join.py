@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampline.llm.common import Kept, Stored, n_shuffle, slices, table, words_of
+from ampline.llm.common import Kept, Stored, n_shuffle, release, slices, table, words_of
 from ampline.llm.components import connected_components
 
 #: The sketch: 2 ** SKETCH_BITS counters, merged in slabs of SLAB.
@@ -274,6 +274,8 @@ def _edges(config: JaccardConfig) -> Callable:
                 held.append(batch.slice(a, b - a))
         if held:
             yield of(pa.Table.from_batches(held))
+        held = []
+        release()
 
     return run
 
