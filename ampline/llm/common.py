@@ -6,7 +6,8 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ SLICE_BYTES = 4 << 20
 BATCH_ROWS = 2_000
 
 _own_dir: dict[str, str] = {}
+#: What the work that is under way has stored or kept so far, in stored_alone.
+_made: ContextVar[list | None] = ContextVar("made", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +61,7 @@ class Stored:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _note(self)
 
     def drop(self) -> None:
         remove(self.spark, self.path)
@@ -68,11 +72,31 @@ class Kept:
 
     def __init__(self, df: DataFrame):
         self.df = df.persist(StorageLevel.DISK_ONLY)
+        _note(self)
 
     def drop(self) -> None:
         self.df.unpersist()
 
 
+def _note(made: Stored | Kept) -> None:
+    if (all_made := _made.get()) is not None:
+        all_made.append(made)
+
+
+def stored_alone(make: Callable[[], DataFrame], name: str) -> Stored:
+    """What ``make`` returns, stored; all that was stored or kept on the way to it is dropped."""
+    before = _made.set([])
+    try:
+        out = Stored(make(), name)
+        for made in _made.get():
+            if made is not out:
+                made.drop()
+    finally:
+        _made.reset(before)
+    _note(out)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampline.llm.common import Stored, slices, table
+from ampline.llm.common import Stored, slices, stored_alone, table
 
 BLOCK_BYTES = 4096
 
@@ -93,14 +93,8 @@ def _block_names(texts: DataFrame, size: int) -> tuple[Stored, int]:
     raise RuntimeError("no seed keeps the hashes of distinct blocks apart")
 
 
-def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z. Null text counts as empty, so null and empty texts form
-    one group. The row with the largest doc_id stays (null ids come below all others; of rows that repeat a text
-    and an id, exactly one stays). An empty table gives no rows; further columns of ``docs`` are not read.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+def _identities(texts: DataFrame, block_bytes: int) -> DataFrame:
+    """row, doc_id, sha, level, name: (level, name) is the text's identity."""
     blocks, seed = _block_names(texts, block_bytes)
     places = texts.mapInArrow(_places(block_bytes, seed), "row long, doc_id long, sha binary, pos long, n long, h1 long, h2 long")
     named = Stored(places.join(blocks.df, ["h1", "h2"]).select("row", "doc_id", "sha", "pos", "n", "name"), "named-0")
@@ -130,7 +124,18 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     identity = done[0]
     for more in done[1:]:
         identity = identity.unionByName(more)
-    rows = Stored(ids.join(identity, "row"), "identities").df
+    return ids.join(identity, "row")
+
+
+def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z. Null text counts as empty, so null and empty texts form
+    one group. The row with the largest doc_id stays (null ids come below all others; of rows that repeat a text
+    and an id, exactly one stays). An empty table gives no rows; further columns of ``docs`` are not read.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    rows = stored_alone(lambda: _identities(texts, block_bytes), "identities").df
     best = F.max(F.struct(F.col("doc_id"), -F.col("row")))
     groups = Stored(rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), best.alias("best")), "groups").df
     return rows.join(groups, ["level", "name"]).select(

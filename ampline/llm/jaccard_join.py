@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampline.llm.common import Kept, Stored, n_shuffle, release, slices, table, words_of
+from ampline.llm.common import Kept, Stored, n_shuffle, release, slices, stored_alone, table, words_of
 from ampline.llm.components import connected_components
 
 #: The sketch: 2 ** SKETCH_BITS counters, merged in slabs of SLAB.
@@ -330,18 +330,9 @@ def _hot(rows: DataFrame, low: str, high: str, where: str) -> DataFrame:
     return hot.drop(low, high).join(ends, "token")
 
 
-def similar_components(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the least doc_id that links lead to, itself included).
-
-    Null and empty texts, and texts of white space, have no shingles and link with nothing. A row without doc_id
-    links with nothing and has a null component_id. Rows that repeat a doc_id are rows of their own, each with the
-    component of its text. An empty table gives no rows; further columns are ignored.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    profiles, classes, seed = _profiles(texts, config)
-    levels = spark.sparkContext.broadcast(_levels(profiles))
-
+def _links(texts: DataFrame, classes: DataFrame, levels, config: JaccardConfig, seed: int) -> DataFrame:
+    """(a, b): links of classes, enough of them to join what all links join."""
+    spark = texts.sparkSession
     rare = texts.where("doc_id is not null").select("text").mapInArrow(_prefixes(config, seed, levels, HOT), "token long, parts long, c long, n long")
     # the sketch counts no shingle too low, so a part holds few rows; its ends are joined to the shingle's
     dealt = rare.select("token", "c", "n", F.when(F.col("parts") > 1, F.expr("pmod(xxhash64(c), parts)")).alias("part"))
@@ -393,9 +384,20 @@ def similar_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     held = inside.unionByName(alone)
     sets = _shingles_of(held.select("c").union(queries.select("c")).distinct(), classes, texts, config, seed)
     second = _verified(held, queries, sets.df, config)
-    links = Stored(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second), "links").df
-    for x in (sets, asks, places, homes):
-        x.drop()
+    return label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second)
+
+
+def similar_components(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (the least doc_id that links lead to, itself included).
+
+    Null and empty texts, and texts of white space, have no shingles and link with nothing. A row without doc_id
+    links with nothing and has a null component_id. Rows that repeat a doc_id are rows of their own, each with the
+    component of its text. An empty table gives no rows; further columns are ignored.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    profiles, classes, seed = _profiles(texts, config)
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(profiles))
+    links = stored_alone(lambda: _links(texts, classes, levels, config, seed), "links").df
 
     final = connected_components(links).withColumnRenamed("node", "c")
     known = classes.join(final, "c", "left").select("c", "first_id", F.coalesce("label", "c").alias("label"))

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampline.llm.common import Stored, table
+from ampline.llm.common import Stored, stored_alone, table
 
 #: Blocks of a source's permutation, and of the mix.
 BLOCKS = 1 << 12
@@ -86,6 +86,10 @@ def exponent(sources: DataFrame, total: int, config: MixConfig) -> float:
 
 def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """A row per source with tokens: mix_source, tokens, weight, quota, epochs, cutoff (null: no part of an epoch)."""
+    return stored_alone(lambda: _plan(docs, config), "mix-plan").df
+
+
+def _plan(docs: DataFrame, config: MixConfig) -> DataFrame:
     rows = with_tokens(docs.select("doc_id", "text", "source"), config)
     parts = rows.select(F.col("ampline_source").alias("mix_source"), F.col("ampline_tokens").alias("mix_tokens"), F.col("ampline_hash").alias("mix_hash")).withColumn("block", _block("mix_hash"))
     light = Stored(parts, "mix-rows").df
@@ -109,7 +113,7 @@ def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     inside = light.join(last, ["mix_source", "block"])
     before = Window.partitionBy("mix_source").orderBy("mix_hash").rangeBetween(Window.unboundedPreceding, -1)
     cut = inside.withColumn("before", F.coalesce(F.sum("mix_tokens").over(before), F.lit(0))).where("before < left").groupBy("mix_source").agg(F.max("mix_hash").alias("cutoff"))
-    return Stored(epochs.join(cut, "mix_source", "left").select("mix_source", "tokens", "weight", "quota", "epochs", "cutoff"), "mix-plan").df
+    return epochs.join(cut, "mix_source", "left").select("mix_source", "tokens", "weight", "quota", "epochs", "cutoff")
 
 
 #: What ``draw`` adds to each row, and what ``mix`` calls it.

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ampline.llm.common import fresh_path, n_shuffle, ragged, slices, split_words, table
 
@@ -192,8 +193,9 @@ INDEX = np.dtype([("end", "<u8"), ("doc_id", "<i8"), ("is_null", "?")])
 def write_token_files(docs: DataFrame, root: str, tokenizer: str | None = None, end_id: int = END_ID) -> list[dict]:
     """Writes ``docs`` (doc_id, text) under ``root`` in ascending doc_id order; returns the manifest, one entry a shard."""
     spark, path = docs.sparkSession, tokenizer or public_tokenizer()
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    ordered = texts.repartitionByRange(n_shuffle(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "key", "row"]  # an id or a text that repeats any number of times is dealt out too
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").withColumns({"key": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = texts.repartitionByRange(n_shuffle(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     where = _made(spark, root)
     shards = sorted(map(tuple, ordered.mapInArrow(_write(where, path, end_id), "shard long, file string, n_docs long, n_ids long").collect()))
     bases = [0, *accumulate(x[3] for x in shards)]
@@ -241,7 +243,7 @@ def token_files(docs: DataFrame, root: str | None = None, tokenizer: str | None
     """Writes the files and describes each text from them.
 
     One row per input row, in ascending doc_id order of ``start``. Null or empty text is the end id alone; null ids
-    come first; rows that repeat an id follow each other by text. An empty table writes no shard and gives no rows.
+    come first; rows that repeat an id follow each other by a hash of their text. An empty table writes no shard and gives no rows.
     Further columns are ignored.
     """
     spark = docs.sparkSession

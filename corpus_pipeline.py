@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampline.llm.common import Stored, small_batches, table
+from ampline.llm.common import Stored, small_batches, stored_alone, table
 from ampline.llm.decontaminate import flag_leaks
 from ampline.llm.jaccard_join import JaccardConfig, similar_components
 from ampline.llm.language import fit, with_language, with_letters
@@ -98,7 +98,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each written and read again; what a stage was made from goes once it is written."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        made = Stored(stage(spark, docs, sf_dir), name)
+        made = stored_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
         if before:
             before.drop()
         docs, before = made.df, made

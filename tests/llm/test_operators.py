@@ -417,6 +417,16 @@ def test_token_files_hold_the_tokenizers_ids(docs):
     assert [r.doc_id for r in got[1:]] == sorted(r.doc_id for r in got[1:])
 
 
+def test_an_id_and_a_text_that_repeat_are_dealt_out(spark, tmp_path):
+    rows = [(7, f"word {k % 3}" if k % 2 else "same text") for k in range(4000)] + [(6, "x"), (8, None)]
+    manifest = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "files"))
+    assert max(x["n_docs"] for x in manifest) < 2000
+    got = sorted(token_files.read_token_files(spark, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [6, *[7] * 4000, 8]
+    assert len({r.ids_crc32 for r in got}) == 6
+    assert [r.start + r.n_tokens for r in got[:-1]] == [r.start for r in got[1:]]
+
+
 def test_word_ids_are_the_tokenizers():
     encoder = token_files.WordEncoder(token_files.public_tokenizer())
     rng = random.Random(1)

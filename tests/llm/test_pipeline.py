@@ -1,5 +1,6 @@
 """Stages of the corpus pipeline, and all of it, on small tables with odd rows, against brute force."""
 
+import os
 import random
 import zlib
 
@@ -7,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from ampline.llm import mixing, token_files
+from ampline.llm.common import shared_dir
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars int, extra int"
 #: Names that operators give to their own columns.
@@ -106,7 +108,10 @@ def test_the_whole_pipeline(spark, tmp_path):
     rows = [(1, a, "en"), (1, b, "en"), (2, b, None), (3, c, "en"), (3, f"{c} tail", "en"), (4, f"{a[:40]} {item} {b[:40]}", "en"), (5, None, "en"), (6, "", None), (7, "12 ½", None), (None, plain[0], None), (None, plain[0], "en")]
     rows += [(10 + k, t, "en") for k, t in enumerate(plain[1:])]
     clashing(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
     got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before) == ["mix_sources", "token-files"]
     # one row of each group of copies; no leak, no text without letters
     want = [(None, plain[0]), (1, a), (1, b), (3, c), *((10 + k, t) for k, t in enumerate(plain[1:]))]
     tokenizer = Tokenizer.from_file(token_files.public_tokenizer())
