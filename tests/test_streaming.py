@@ -158,4 +158,5 @@ def test_events_are_printed(spark, tmp_path):
     query.awaitTermination(120)
     assert query.exception() is None
     assert "Console" in query.lastProgress["sink"]["description"]
-    assert sum(x["numInputRows"] for x in query.recentProgress) == 2
+    # the event alone; how many rows are read for it depends on what the filter skips of the files
+    assert sum(x["sink"]["numOutputRows"] for x in query.recentProgress) == 1
