@@ -175,6 +175,61 @@ def sums_between(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+#: Odd multipliers and random bytes of hash_runs.
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BYTES = np.random.default_rng(13).integers(1, 2**63, 256, np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+class ByteRuns:
+    """Maximal runs of bytes of one kind within a text, A-Z lower-cased; bytes of kind 0 are in no run.
+
+    ``data`` and ``offsets`` are the bytes of the runs, ``text`` is the row of each, ``start`` its place in ``whole``, the bytes of all rows.
+    """
+
+    def __init__(self, text: pa.Array, kinds: np.ndarray):
+        low = pc.ascii_lower(text)
+        at = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
+        self.whole = np.frombuffer(low.buffers()[2], np.uint8)[at[0] : at[-1]] if low.buffers()[2] is not None else np.zeros(0, np.uint8)
+        at -= at[0]
+        kind = kinds[self.whole]
+        inside = kind != 0
+        first = inside.copy()
+        first[1:] &= kind[1:] != kind[:-1]
+        begin = at[:-1][at[:-1] < len(kind)]
+        first[begin] = inside[begin]
+        self.start = np.flatnonzero(first)
+        self.data = self.whole[inside]
+        self.offsets = np.append(np.cumsum(inside)[self.start] - 1, len(self.data)) if len(self.start) else np.zeros(1, np.int64)
+        self.text = np.searchsorted(at, self.start, side="right") - 1
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each run's bytes."""
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        length = np.diff(self.offsets)
+        power = np.cumprod(np.full(int(length.max()), _STEP, np.uint64))
+        place = np.arange(len(self.data)) - np.repeat(self.offsets[:-1], length)
+        return mixed(np.add.reduceat(_BYTES[self.data] * power[place], self.offsets[:-1]))
+
+    def encoded(self) -> pa.DictionaryArray:
+        buffers = [None, pa.py_buffer(self.offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(self.data))]
+        return pa.Array.from_buffers(pa.string(), len(self), buffers).dictionary_encode()
+
+
+def longer_runs(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Hashes of sequences that are one element longer."""
+    return mixed(hashes * _STEP + more)
+
+
 def fold(doc_id: str, n: int) -> F.Column:
     """crc32 of the id's decimal text modulo n; null ids fall in fold -1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % n, F.lit(-1))

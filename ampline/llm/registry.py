@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ampline.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language, license_scan, mixing, token_counts, token_files, toxicity
+from ampline.llm import chat_format, collocations, decontaminate, dual_tree, exact_dedup, jaccard_join, language, license_scan, mixing, quality_classifier, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_token_files": token_files.op10_token_files,
+    "op11_centroid_clusters": dual_tree.op11_centroid_clusters,
+    "op12_quality": quality_classifier.op12_quality,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op3_chat_format": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op11_centroid_clusters": dual_tree.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
