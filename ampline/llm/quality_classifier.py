@@ -120,12 +120,12 @@ def pooled(text: pa.Array, vectors: np.ndarray, config: QualityConfig) -> np.nda
     bucket, of, d = _buckets(runs, config), runs.text, config.size
     sums = np.zeros((len(text), 3 * d))
     for s in range(0, len(bucket), CHUNK):
-        v, t = vectors[bucket[s : s + CHUNK]], of[s : s + CHUNK]
+        v, t = vectors[bucket[s : s + CHUNK]].astype(np.float64), of[s : s + CHUNK]
         after = np.minimum(np.arange(s + 1, s + 1 + len(v)), len(bucket) - 1)
         product = v * vectors[bucket[after]] * (of[after] == t)[:, None]
         product[after < np.arange(s + 1, s + 1 + len(v))] = 0  # the last token has none after it
         first = np.flatnonzero(np.diff(t, prepend=-1))
-        sums[t[first]] += np.concatenate([np.add.reduceat(x, first, axis=0, dtype=np.float64) for x in (v, v * v, product)], axis=1)
+        sums[t[first]] += np.concatenate([np.add.reduceat(x, first, axis=0) for x in (v, v * v, product)], axis=1)
     n = np.bincount(of, minlength=len(text)).astype(float)
     each = np.maximum(n, 1)[:, None]
     mean = sums[:, :d] / each
