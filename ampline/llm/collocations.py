@@ -47,12 +47,15 @@ class PhraseConfig:
     covered: int = 50
     #: Phrases returned of each language.
     top: int = 2000
-    #: Rows of the sketch, and bounds of the cells of each, as powers of two; in between it is one cell for eight bytes of text.
+    #: Rows of the sketch, and bounds of the cells of each, as powers of two; in between it is one for each 16 bytes of text.
     depth: int = 2
     least_bits: int = 20
     most_bits: int = 29
     #: Runs of words that a task gathers before it packs them.
     packed_runs: int = 4 << 20
+    #: Bytes of text that a task of the second pass counts, where there is more than two tasks for each core: what is
+    #: frequent is frequent in most tasks, so fewer tasks send fewer counts.
+    task_bytes: int = 256 << 20
 
 
 class Words(ByteRuns):
@@ -152,8 +155,8 @@ def _merge(config: PhraseConfig, size: int) -> Callable:
 class Sketch:
     """One bit a cell; ``may`` never says no to a run of words that occurs often enough."""
 
-    def __init__(self, bits: int, rows: list[np.ndarray]):
-        self.bits, self.rows = bits, rows
+    def __init__(self, bits: int, rows: list[np.ndarray], text_bytes: int):
+        self.bits, self.rows, self.text_bytes = bits, rows, text_bytes
 
     def may(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), bool)
@@ -167,7 +170,7 @@ class Sketch:
 def sketch(texts: DataFrame, config: PhraseConfig = PhraseConfig()) -> Sketch:
     """The merged sketch of texts (lang, text)."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(config.most_bits, max(config.least_bits, int(size // 8).bit_length()))
+    bits = min(config.most_bits, max(config.least_bits, int(size // 16).bit_length()))
     packed = texts.mapInArrow(_sketch(bits, config), "row int, segment int, cells binary")
     dealt = packed.repartition(n_shuffle(texts.sparkSession), "row", "segment").sortWithinPartitions("row", "segment")
     merged = dealt.mapInArrow(_merge(config, 1 << min(SEGMENT, bits)), "row int, segment int, cells binary")
@@ -175,7 +178,7 @@ def sketch(texts: DataFrame, config: PhraseConfig = PhraseConfig()) -> Sketch:
     width = (1 << min(SEGMENT, bits)) // 8
     for part in merged.toLocalIterator():  # bounded by most_bits
         rows[part.row][part.segment * width : (part.segment + 1) * width] = np.frombuffer(part.cells, np.uint8)
-    return Sketch(bits, rows)
+    return Sketch(bits, rows, size)
 
 
 def _tallied(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +230,10 @@ def phrase_counts(docs: DataFrame, config: PhraseConfig = PhraseConfig()) -> Dat
     A row with words 0 and an empty phrase tells how many words a language has. A null text is empty, a null lang ``und``.
     """
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(texts, config))
-    rows = texts.mapInArrow(_exact(shared, config), "lang string, words int, phrase string, f long")
+    sc, known = docs.sparkSession.sparkContext, sketch(texts, config)
+    shared = sc.broadcast(known)
+    tasks = max(2 * sc.defaultParallelism, -(-known.text_bytes // config.task_bytes))
+    rows = texts.coalesce(tasks).mapInArrow(_exact(shared, config), "lang string, words int, phrase string, f long")
     return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= config.least))
 
 
