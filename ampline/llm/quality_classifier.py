@@ -26,7 +26,7 @@ KINDS = np.full(256, 2, np.uint8)
 KINDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 KINDS[[0x20, *range(0x09, 0x0E)]] = 0
 #: Tokens whose vectors are held at once, and buckets of a segment, as a power of two.
-CHUNK, SEGMENT = 1 << 16, 12
+CHUNK, SEGMENT = 1 << 12, 12
 
 
 @dataclass(frozen=True)
@@ -49,13 +49,11 @@ class QualityConfig:
     seed: int = 11
 
 
-def index_vectors(config: QualityConfig) -> np.ndarray:
-    """A row of signs for each bucket, the same everywhere."""
+def index_vectors(config: QualityConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(components, signs) of each bucket's index vector, a row a bucket; the same everywhere."""
     rng = np.random.default_rng(config.seed)
-    out = np.zeros((1 << config.bits, config.size), np.int32)
-    for _ in range(config.nonzero):
-        out[np.arange(len(out)), rng.integers(0, config.size, len(out))] = rng.choice(np.array([-1, 1], np.int32), len(out))
-    return out
+    shape = (1 << config.bits, config.nonzero)
+    return rng.integers(0, config.size, shape), rng.choice([-1.0, 1.0], shape)
 
 
 def _buckets(runs: ByteRuns, config: QualityConfig) -> np.ndarray:
@@ -64,19 +62,18 @@ def _buckets(runs: ByteRuns, config: QualityConfig) -> np.ndarray:
 
 def _contexts(config: QualityConfig) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(config), np.zeros((1 << config.bits, config.size), np.int64)
+        (at, sign), size = index_vectors(config), (1 << config.bits) * config.size
+        total = np.zeros(size)
         for batch in slices(batches, "text"):
             runs = ByteRuns(batch.column("text"), KINDS)
             bucket = _buckets(runs, config)
             for k in range(1, config.reach + 1):
                 same = runs.text[k:] == runs.text[:-k]
-                pair, n = np.unique(bucket[:-k][same] << config.bits | bucket[k:][same], return_counts=True)
-                for start in range(0, len(pair), CHUNK):
-                    a, b, m = pair[start : start + CHUNK] >> config.bits, pair[start : start + CHUNK] & (1 << config.bits) - 1, n[start : start + CHUNK, None]
-                    for at, other in ((a, b), (b, a)):
-                        order = np.argsort(at, kind="stable")
-                        first = np.flatnonzero(np.diff(at[order], prepend=-1))
-                        total[at[order][first]] += np.add.reduceat(index[other[order]] * m[order], first, axis=0)
+                left, right = bucket[:-k][same], bucket[k:][same]
+                for word, other in ((left, right), (right, left)):
+                    for j in range(config.nonzero):
+                        total += np.bincount(word * config.size + at[other, j], weights=sign[other, j], minlength=size)
+        total = total.astype(np.int64).reshape(-1, config.size)
         pack = zstandard.ZstdCompressor(level=1).compress
         width = 1 << min(SEGMENT, config.bits)
         for k in range(len(total) // width):
@@ -120,12 +117,14 @@ def pooled(text: pa.Array, vectors: np.ndarray, config: QualityConfig) -> np.nda
     bucket, of, d = _buckets(runs, config), runs.text, config.size
     sums = np.zeros((len(text), 3 * d))
     for s in range(0, len(bucket), CHUNK):
-        v, t = vectors[bucket[s : s + CHUNK]].astype(np.float64), of[s : s + CHUNK]
-        after = np.minimum(np.arange(s + 1, s + 1 + len(v)), len(bucket) - 1)
-        product = v * vectors[bucket[after]] * (of[after] == t)[:, None]
-        product[after < np.arange(s + 1, s + 1 + len(v))] = 0  # the last token has none after it
+        v, t = vectors[bucket[s : s + CHUNK + 1]].astype(np.float64), of[s : s + CHUNK + 1]
+        product = v[:-1] * v[1:] * (t[1:] == t[:-1])[:, None]
+        v, t = v[:CHUNK], t[:CHUNK]
+        if len(product) < len(v):  # the last token has none after it
+            product = np.concatenate([product, np.zeros((1, d))])
         first = np.flatnonzero(np.diff(t, prepend=-1))
-        sums[t[first]] += np.concatenate([np.add.reduceat(x, first, axis=0) for x in (v, v * v, product)], axis=1)
+        for k, x in enumerate((v, v * v, product)):
+            sums[t[first], k * d : (k + 1) * d] += np.add.reduceat(x, first, axis=0)
     n = np.bincount(of, minlength=len(text)).astype(float)
     each = np.maximum(n, 1)[:, None]
     mean = sums[:, :d] / each
