@@ -7,6 +7,8 @@ as JSON, so the same objects serve batch tasks and Structured Streaming state.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ampline.config import DetectorConfig
@@ -25,68 +27,172 @@ def clean_point(p: float | None, q: float | None) -> Point:
     return tuple(None if x is None or math.isnan(x) or math.isinf(x) else float(x) for x in (p, q))
 
 
-class Window:
-    """Features of a growing window and its clusters: components of the graph of neighbours.
+class Clusters:
+    """Disjoint sets of positions, each with its first and last one and its members, and the positions without a neighbour in order.
 
     With two points to a core, clusters don't depend on the order of arrival; loss is 0 for every pair of clusters with
     noise between them, so the first pair wins.
     """
 
+    def __init__(self, config: DetectorConfig):
+        self.config = config
+        self.root: dict[int, int] = {}
+        self.sets: dict[int, tuple[int, int, list[int]]] = {}
+        self.noise: list[int] = []
+
+    def add(self, seq: int, near: list[int]) -> None:
+        """A position whose neighbours are in the sets of ``near``; only these sets are touched."""
+        self.root[seq] = seq
+        insort(self.noise, seq)
+        for other in near:
+            self._join(self.root[seq], self.root[other])
+
+    def _taken(self, root: int) -> tuple[int, int, list[int]]:
+        if root in self.sets:
+            return self.sets.pop(root)
+        del self.noise[bisect_left(self.noise, root)]
+        return root, root, [root]
+
+    def _join(self, a: int, b: int) -> None:
+        if a == b:
+            return
+        (u1, v1, large), (u2, v2, small) = self._taken(a), self._taken(b)
+        if len(large) < len(small):
+            a, large, small = b, small, large
+        for x in small:
+            self.root[x] = a
+        large += small
+        self.sets[a] = min(u1, u2), max(v1, v2), large
+
+    def drop_through(self, seq: int, tree: Callable[[int], int]) -> None:
+        """Forgets positions up to ``seq``. Sets that lose members fall apart by ``tree``, the name of a position's part of what is left."""
+        for root in [r for r, (u, _, _) in self.sets.items() if u <= seq]:
+            parts: dict[int, list[int]] = {}
+            for x in self.sets.pop(root)[2]:
+                if x > seq:
+                    parts.setdefault(tree(x), []).append(x)
+            for members in parts.values():
+                for x in members:
+                    self.root[x] = members[0]
+                if len(members) == 1:
+                    insort(self.noise, members[0])
+                else:
+                    self.sets[members[0]] = min(members), max(members), members
+        del self.noise[: bisect_right(self.noise, seq)]
+        for x in [x for x in self.root if x <= seq]:
+            del self.root[x]
+
+    def interval(self) -> tuple[int, int] | None:
+        """First and last noise position of the first fitting pair of clusters."""
+        if not self.noise or len(self.sets) < 2:
+            return None
+        least = self.config.min_locality
+        local = sorted((u, v) for u, v, members in self.sets.values() if len(members) >= least * (v - u + 1) - 1e-9)
+        starts = [u for u, _ in local]
+        for _, v in local:
+            k = bisect_right(self.noise, v)
+            if k < len(self.noise) and (second := bisect_right(starts, self.noise[k])) < len(starts):
+                return self.noise[k], self.noise[bisect_left(self.noise, starts[second]) - 1]
+        return None
+
+
+class Window:
+    """Features of a growing window, in order of position, and their clusters.
+
+    Neighbours are looked for in grid cells so small that all points of one are neighbours, so one link to each cell is
+    enough: to the newest neighbour in it. Of the links a forest is kept whose older ends are as young as can be (a maximum
+    spanning forest); so when the oldest points go, what is left of the forest spans what is left of every cluster, and
+    no distance is looked at again.
+    """
+
     def __init__(self, config: DetectorConfig):
         self.config = config
         self.points: dict[int, Point] = {}
-        self.near: dict[int, set[int]] = {}
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        self.up: dict[int, int | None] = {}  # the forest, each tree hung from its newest point
+        self.clusters = Clusters(config)
+
+    def _cell(self, point: Point) -> tuple[int, int]:
+        side = 0.7 * self.config.eps or 1e-300
+        return math.floor(point[0] / side), math.floor(point[1] / side)
+
+    def _newest_near(self, point: Point) -> list[int]:
+        """The newest neighbour in each cell within reach, newest first."""
+        i, j = self._cell(point)
+        found, cells, points, eps = [], self.cells, self.points, self.config.eps
+        for x in range(i - 2, i + 3):
+            for y in range(j - 2, j + 3):
+                for seq in reversed(cells.get((x, y), ())):
+                    if _near(points[seq], point, eps):
+                        found.append(seq)
+                        break
+        return sorted(found, reverse=True)
 
     def add(self, seq: int, point: Point) -> None:
-        links = {s for s, x in self.points.items() if _near(x, point, self.config.eps)}
-        self.points[seq] = point
-        self.near[seq] = links
-        for s in links:
-            self.near[s].add(seq)
+        """A point newer than all others."""
+        near = [] if None in point else self._newest_near(point)
+        self.points[seq], self.up[seq] = point, None
+        if None not in point:
+            self.cells.setdefault(self._cell(point), []).append(seq)
+        for other in near:
+            self._link(other, seq)
+        self.clusters.add(seq, near)
+
+    def _link(self, old: int, new: int) -> None:
+        """Hangs ``old`` from ``new``, the newest point, if that makes no ring, or else if the ring has a link with an older end, which goes."""
+        path = [old]
+        while (above := self.up[path[-1]]) is not None:
+            path.append(above)
+        if path[-1] == new:
+            oldest = min(range(len(path) - 1), key=lambda k: min(path[k], path[k + 1]))
+            if min(path[oldest], path[oldest + 1]) >= old:
+                return
+            path = path[: oldest + 1]
+        for k in range(len(path) - 1, 0, -1):
+            self.up[path[k]] = path[k - 1]
+        self.up[old] = new
 
     def drop_through(self, seq: int) -> None:
-        gone = {s for s in self.points if s <= seq}
+        gone = [s for s in self.points if s <= seq]
         for s in gone:
-            del self.points[s], self.near[s]
-        for links in self.near.values():
-            links -= gone
-
-    def interval(self, since: int | None = None) -> tuple[int, int] | None:
-        """First and last noise position of the first fitting pair of clusters, of the points from ``since`` on."""
-        inside = sorted(s for s in self.points if since is None or s >= since)
-        noise, clusters, seen = [], [], set()
-        for s in inside:
-            if s in seen:
-                continue
-            members, todo = {s}, [s]
-            while todo:
-                fresh = {x for x in self.near[todo.pop()] if since is None or x >= since} - members
-                members |= fresh
-                todo += fresh
-            seen |= members
-            if len(members) == 1:
-                noise.append(s)
-            else:
-                u, v = min(members), max(members)
-                if len(members) >= self.config.min_locality * (v - u + 1) - 1e-9:
-                    clusters.append((u, v))
-        if not noise or len(clusters) < 2:
-            return None
-        for k, (_, v1) in enumerate(clusters):
-            for u2, _ in clusters[k + 1 :]:
-                between = [s for s in noise if v1 < s < u2]
-                if between:
-                    return between[0], between[-1]
-        return None
+            if None not in self.points[s]:
+                cell = self._cell(self.points[s])
+                self.cells[cell].remove(s)
+                if not self.cells[cell]:
+                    del self.cells[cell]
+            del self.points[s], self.up[s]
+        for s, above in self.up.items():
+            if above is not None and above <= seq:
+                self.up[s] = None
+        self.clusters.drop_through(seq, self._tree)
+
+    def _tree(self, seq: int) -> int:
+        while (above := self.up[seq]) is not None:
+            seq = above
+        return seq
+
+    def interval(self) -> tuple[int, int] | None:
+        return self.clusters.interval()
 
     def suffixes(self, interval: tuple[int, int]) -> tuple[int, tuple[int, int]]:
-        """How many of the oldest points can go one by one while the rest fits, and the interval of the last rest that does."""
+        """How many of the oldest points can go one by one while the rest fits, and the interval of the last rest that does.
+
+        One pass from the newest point to the oldest, each linked to the newer ends of its links in the forest.
+        """
+        newer: dict[int, list[int]] = {}
+        for s, above in self.up.items():
+            if above is not None:
+                newer.setdefault(min(s, above), []).append(max(s, above))
+        rest, found = Clusters(self.config), []
+        order = list(self.points)
+        for s in reversed(order[1:]):
+            rest.add(s, newer.get(s, []))
+            found.append(rest.interval())
         best, dropped = interval, 0
-        for s in sorted(self.points)[1:]:
-            found = self.interval(since=s)
-            if found is None:
+        for fits in reversed(found):
+            if fits is None:
                 break
-            best, dropped = found, dropped + 1
+            best, dropped = fits, dropped + 1
         return dropped, best
 
     def tightened(self, interval: tuple[int, int]) -> tuple[int, int]:
@@ -143,6 +249,22 @@ class InOrder:
         # positions are told as one more; the window's start may be told as less than it is
         return Event(seq, start + 1, end + 1, removed, drift + self.config.point_shift)
 
+    def skip(self, n: int, test: bool) -> int | None:
+        """``n`` bad features in order, at once; with ``test`` the window is tested for its size after each. Returns as reset_if_full."""
+        size, room = len(self.window.points), self.config.max_window + 1
+        until = max(room - size - self.bad, 1)
+        self.counters.arrivals += n
+        if not test or n < until:
+            self.counters.window_total += n * size
+            self.bad += n
+            return None
+        self.counters.window_total += until * size
+        self.bad += until
+        last = self.reset_if_full()
+        self.counters.resets += (n - until) // room
+        self.bad = (n - until) % room
+        return last
+
     def reset_if_full(self) -> int | None:
         """Empties a window of more than max_window features, bad ones among them; returns the last position then."""
         if len(self.window.points) + self.bad <= self.config.max_window:
@@ -174,6 +296,9 @@ class Clean:
         self.inner.reset_if_full()
         return [(seq, 0, -1)]
 
+    def advance(self, clock: int) -> list[tuple[int, int, int]]:
+        return []
+
     def finish(self) -> list[tuple[int, int, int]]:
         return []
 
@@ -191,6 +316,10 @@ class Reordered:
     A feature that is surely no event is answered at once; else it waits. Features are put in order and the detector
     runs on the unbroken prefix. An event answers its trigger, even if that was answered 0 before (a correction); what
     waits and is in order then gets 0.
+
+    A batch of which nothing has come by ``late_batches`` responses after its own counts as bad once that response is
+    through (``advance``), unless ``strict_block`` makes it block for good. A stream starts ``late_batches`` before the
+    first position that is fed, but not before 0; with ``strict_block`` at that position if 0 is further away.
     """
 
     config: DetectorConfig
@@ -198,7 +327,8 @@ class Reordered:
     pending: dict[int, tuple[Point, bool]] = field(default_factory=dict)
     recent: dict[int, Point] = field(default_factory=dict)
     waiting: list[int] = field(default_factory=list)
-    next_seq: int = 0
+    next_seq: int | None = None
+    clock: int = -1
 
     def __post_init__(self):
         self.inner = InOrder(self.config)
@@ -224,40 +354,59 @@ class Reordered:
                 del self.recent[s]
 
     def feed(self, seq: int, p: float | None, q: float | None, is_bad: bool = False, clock: int = 0) -> list[tuple[int, int, int]]:
-        point, out = clean_point(p, q), []
+        late = self.config.late_batches
+        if self.next_seq is None:
+            self.next_seq = seq if self.config.strict_block and seq > late else max(0, seq - late)
+        out = self.advance(clock - 1) if clock > self.clock else []
+        self.clock = max(self.clock, clock)
         if seq < self.next_seq or seq in self.pending:
-            return out  # a second feature of a batch
+            return out  # a second feature of a batch, or one after its time
+        point = clean_point(p, q)
         wait = self.early(seq, point)
         self.pending[seq] = (point, is_bad)
-        if not self.config.strict_block:
-            for s in range(self.next_seq, min(seq, clock - 2 * self.config.late_batches)):
-                self.pending.setdefault(s, ((None, None), True))
-        events = self._drain()
+        events = self._drain(self.next_seq)
         if wait:
             self.waiting.append(seq)
         else:
             out.append((seq, 0, -1))
+        return out + self._told(events)
+
+    def advance(self, clock: int) -> list[tuple[int, int, int]]:
+        """What the end of a response brings: batches that are overdue count as bad."""
+        self.clock = max(self.clock, clock)
+        if self.config.strict_block or not self.pending or self.next_seq > clock - self.config.late_batches:
+            return []
+        return self._told(self._drain(min(max(self.pending), clock - self.config.late_batches + 1)))
+
+    def _told(self, events: list[Event]) -> list[tuple[int, int, int]]:
+        out = []
         for event in events:
             out.append((event.s, 1, event.event_s))
             if event.s in self.waiting:
                 self.waiting.remove(event.s)
         if self.config.legacy_reset and not events:
             self._forget(self.inner.reset_if_full())
-        out += self._release()
-        return out
+        return out + self._release()
 
-    def _drain(self) -> list[Event]:
+    def _drain(self, overdue: int) -> list[Event]:
+        """Feeds what is in order; batches below ``overdue`` that are missing count as bad."""
         events = []
-        while self.next_seq in self.pending:
-            point, is_bad = self.pending.pop(self.next_seq)
-            event = self.inner.add(self.next_seq, point, is_bad)
-            if event:
-                events.append(event)
-                self._forget(event.removed)
-            elif not self.config.legacy_reset:
-                self._forget(self.inner.reset_if_full())
-            self.next_seq += 1
-        return events
+        while True:
+            if self.next_seq in self.pending:
+                point, is_bad = self.pending.pop(self.next_seq)
+                event = self.inner.add(self.next_seq, point, is_bad)
+                if event:
+                    events.append(event)
+                    self._forget(event.removed)
+                elif not self.config.legacy_reset:
+                    self._forget(self.inner.reset_if_full())
+                self.next_seq += 1
+            elif self.next_seq < overdue:
+                after = min(overdue, min(self.pending, default=overdue))
+                self._forget(self.inner.skip(after - self.next_seq, not self.config.legacy_reset))
+                self.next_seq = after
+            else:
+                return events
 
     def _release(self) -> list[tuple[int, int, int]]:
         ready = sorted(s for s in self.waiting if s < self.next_seq)
@@ -266,17 +415,18 @@ class Reordered:
 
     def finish(self) -> list[tuple[int, int, int]]:
         """Answers for what still waits when the stream has ended."""
+        out = self.advance(self.clock)
         rest, self.waiting = sorted(self.waiting), []
-        return [(s, 0, -1) for s in rest]
+        return out + [(s, 0, -1) for s in rest]
 
     def state(self) -> dict:
-        return {"inner": self.inner.state(), "pending": list(self.pending.items()), "recent": list(self.recent.items()), "waiting": self.waiting, "next_seq": self.next_seq}
+        return {"inner": self.inner.state(), "pending": list(self.pending.items()), "recent": list(self.recent.items()), "waiting": self.waiting, "next_seq": self.next_seq, "clock": self.clock}
 
     def load(self, state: dict) -> None:
         self.inner.load(state["inner"])
         self.pending = {s: (tuple(point), bad) for s, (point, bad) in state["pending"]}
         self.recent = {s: tuple(point) for s, point in state["recent"]}
-        self.waiting, self.next_seq = list(state["waiting"]), state["next_seq"]
+        self.waiting, self.next_seq, self.clock = list(state["waiting"]), state["next_seq"], state["clock"]
 
 
 class Slots:
@@ -299,17 +449,23 @@ class Slots:
             slot[4] += voltage * current
 
     def close(self, response: int) -> list[tuple[int, float | None, float | None, bool]]:
-        c, out = self.config, []
+        c = self.config
         due = [s for s, x in self.open.items() if x[0] == c.samples_per_feature or response - s >= c.late_batches]
-        for seq in sorted(due, key=lambda s: (s % c.ring_slots, s)):
+        out = self.taken(sorted(due, key=lambda s: (s % c.ring_slots, s)))
+        self.closed_below = max(self.closed_below, response - c.late_batches - c.ring_slots)
+        self.closed = {s for s in self.closed if s >= self.closed_below}
+        return out
+
+    def taken(self, due: list[int]) -> list[tuple[int, float | None, float | None, bool]]:
+        """The features of some slots, which are closed."""
+        c, out = self.config, []
+        for seq in due:
             held, counted, *sums = self.open.pop(seq)
             vv, cc, vc = ((x + (c.samples_per_feature - counted) * c.filler**2) / c.samples_per_feature for x in sums)
             apparent = math.sqrt(vv) * math.sqrt(cc)
             rest = apparent * apparent - vc * vc
             out.append((seq, math.log(vc) if vc > 0 else None, math.log(math.sqrt(rest)) if rest > 0 else None, held < c.good_share * c.samples_per_feature - 1e-9))
             self.closed.add(seq)
-        self.closed_below = max(self.closed_below, response - c.late_batches - c.ring_slots)
-        self.closed = {s for s in self.closed if s >= self.closed_below}
         return out
 
     def state(self) -> dict:

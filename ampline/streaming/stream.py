@@ -43,12 +43,13 @@ class _Processor(StatefulProcessor):
                     slots.add(int(i) // size, float(v), float(c))
                 for seq, p, q, bad in slots.close(int(response)):
                     out += kernel.feed(seq, p, q, bad, int(response))
+                out += kernel.advance(int(response))
         else:
             for i, v, c in zip(frame["i"], frame["voltage"], frame["current"], strict=True):
                 slots.add(int(i) // size, float(v), float(c))
             # a clean batch is closed by its own last sample
             for seq in sorted(s for s, x in slots.open.items() if x[0] == size):
-                (_, p, q, bad), *_ = [x for x in _closed(slots, seq)]
+                [(_, p, q, bad)] = slots.taken([seq])
                 out += kernel.feed(seq, p, q, bad, seq)
         self.value.update((json.dumps({"kernel": kernel.state(), "slots": slots.state(), "emitted": emitted + len(out)}),))
         yield pd.DataFrame([(int(key[0]), emitted + k, *x) for k, x in enumerate(out)], columns=["stream_id", "emit_ord", "s", "d", "event_s"])
@@ -57,14 +58,6 @@ class _Processor(StatefulProcessor):
         pass
 
 
-def _closed(slots: Slots, seq: int) -> list:
-    others = {s: x for s, x in slots.open.items() if s != seq}
-    slots.open = {seq: slots.open[seq]}
-    out = slots.close(seq)
-    slots.open = others
-    return out
-
-
 def detect_stream(samples: DataFrame, config: DetectorConfig, kind: str = "reordered") -> DataFrame:
     """Streaming answers for a stream of samples (stream_id, arrival, pos, i, voltage, current). Takes the RocksDB state store."""
     plain = samples.selectExpr("stream_id", "arrival", "pos", "i", "cast(voltage as double) voltage", "cast(current as double) current")

@@ -7,7 +7,7 @@ from dataclasses import replace
 import pytest
 
 from ampline.config import DetectorConfig
-from ampline.streaming.kernel import Clean, InOrder, Reordered, Slots
+from ampline.streaming.kernel import Clean, InOrder, Reordered, Slots, Window
 
 C = DetectorConfig(eps=0.25, samples_per_feature=1000)
 
@@ -154,6 +154,194 @@ def test_state_goes_through_json(cut):
     assert got == want
 
 
+def fitting(seqs, points):
+    """As ``check`` for points at given positions, and in positions."""
+    found = labels(points)
+    sets = [[k for k, x in zip(seqs, found, strict=True) if x == c] for c in range(1, max(found, default=0) + 1)]
+    sets = [at for at in sets if len(at) / (at[-1] - at[0] + 1) >= 0.2 - 1e-9]
+    for a in sets:
+        for b in sets:
+            noise = [k for k, x in zip(seqs, found, strict=True) if x == 0 and a[-1] < k < b[0]]
+            if a[-1] < b[0] and noise:
+                return noise[0], noise[-1]
+    return None
+
+
+def rebuilt(window):
+    """The interval of a window's points clustered anew, and the one that its suffixes tighten it to."""
+    seqs = sorted(window.points)
+    points = [window.points[k] for k in seqs]
+    found = tight = fitting(seqs, points)
+    for i in range(1, len(points) if found else 0):
+        inner = fitting(seqs[i:], points[i:])
+        if inner is None:
+            break
+        tight = inner
+    return found, tight
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_kept_clusters_are_those_of_clustering_anew(seed):
+    """Over points added, dropped up to any position, and windows emptied, with positions that are left out."""
+    rng = random.Random(100 + seed)
+    window, seq = Window(C), rng.choice([0, 10**9])
+    spread = rng.choice([0.3, 1.0, 4.0])
+    for p, q in stream(rng, 150) if seed % 3 == 0 else [(rng.uniform(0, spread), rng.uniform(0, spread / 3)) for _ in range(150)]:
+        seq += rng.choice([1, 1, 1, 2, 7])
+        window.add(seq, (p, q))
+        found, tight = rebuilt(window)
+        assert window.interval() == found
+        assert found is None or window.tightened(found) == tight
+        labelled = labels([window.points[k] for k in sorted(window.points)])
+        assert window.clusters.noise == [k for k, x in zip(sorted(window.points), labelled, strict=True) if not x]
+        assert sorted(sorted(m) for _, _, m in window.clusters.sets.values()) == sorted([k for k, x in zip(sorted(window.points), labelled, strict=True) if x == c] for c in range(1, max(labelled) + 1))
+        if rng.random() < 0.08:
+            window.drop_through(rng.choice(sorted(window.points)))
+            assert window.interval() == rebuilt(window)[0]
+        elif rng.random() < 0.01:
+            window = Window(C)
+
+
+def test_the_forest_keeps_the_youngest_links():
+    """After every point the forest's links, by their older end, are those of a maximum spanning forest."""
+    rng = random.Random(7)
+    window = Window(C)
+    for seq in range(80):
+        window.add(seq, (rng.uniform(0, 1.2), rng.uniform(0, 1.2)))
+        links = [min(s, x) for s, x in window.up.items() if x is not None]
+        every = sorted(((a, b) for b in window.points for a in window.points if a < b and near(window.points[a], window.points[b])), reverse=True)
+        group, want = {s: s for s in window.points}, []
+        for a, b in every:
+            if group[a] != group[b]:
+                want.append(a)
+                old, new = group[a], group[b]
+                group = {s: new if g == old else g for s, g in group.items()}
+        assert sorted(links) == sorted(want)
+
+
+def drained(order, points, legacy):
+    """Events of a detector that orders features by their number and tests for a full window after each (or once for each arrival)."""
+    window, waiting, at, out, most = {}, {}, 0, [], 0
+    for s in order:
+        waiting[s] = points[s]
+        fired = False
+        while at in waiting:
+            window[at] = waiting.pop(at)
+            most = max(most, len(window))
+            seqs = sorted(window)
+            found = check([window[k] for k in seqs])
+            if found:
+                fired = True
+                first, last = (seqs[k] + 1 for k in backward([window[k] for k in seqs], found))
+                out.append((at, 1, (first + last) // 2 + 1))
+                for k in seqs[: found[1] + 1]:
+                    del window[k]
+            elif not legacy and len(window) > 100:
+                window = {}
+            at += 1
+        if legacy and not fired and len(window) > 100:
+            window = {}
+    return out, most
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_window_that_is_tested_once_an_arrival_may_outgrow_its_size(seed):
+    rng = random.Random(50 + seed)
+    points = [(100.0 + 3 * k, 0.0) for k in range(120)] + stream(rng, 160)
+    order = sorted(range(len(points)), key=lambda s: (s + (20 if s in (85, 95) or (s > 120 and rng.random() < 0.05) else 0), s))
+    for legacy in (False, True):
+        kernel = Reordered(replace(C, legacy_reset=legacy))
+        got = [x for n, s in enumerate(order) for x in kernel.feed(s, *points[s], clock=n)] + kernel.finish()
+        want, most = drained(order, points, legacy)
+        assert [x for x in got if x[1]] == want
+        assert most > 101 if legacy else most <= 101
+
+
+def early_model(recent, seq, point):
+    """The rule for an early answer, written out; ``recent`` holds the points before."""
+    held = {**recent, seq: point}
+    if len(held) < 4 or seq - min(held) <= 7:
+        return 0
+    older = sorted((k for k in held if k < seq), reverse=True)
+    for i in range(7):
+        if i >= len(older) or older[i] != seq - i - 1:
+            return 1
+        if near(point, held[older[i]]):
+            return 0 if any(near(held[k], held[older[i]]) for k in older[i + 1 : 7]) else 1
+    return 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_early_answers_over_a_whole_stream(seed):
+    rng = random.Random(70 + seed)
+    points = stream(rng, 200)
+    order = sorted(range(200), key=lambda s: (s + rng.choice([0, 0, 0, rng.randint(1, 20)]), s))
+    kernel = Reordered(C)
+    for n, s in enumerate(order):
+        before = dict(kernel.recent)
+        want = early_model(before, s, points[s])
+        got = kernel.feed(s, *points[s], clock=n)
+        late = [x for x in got if x[0] == s and x[1] == 0]
+        if want == 0:
+            assert late[:1] == [(s, 0, -1)]
+        elif not late:
+            assert s in kernel.waiting or any(x[0] == s and x[1] for x in got)
+
+
+def test_a_batch_that_never_comes_counts_as_bad_after_its_time():
+    """Batch 3 is missing: at the end of response 23 it counts as bad, not before."""
+    kernel, held = Reordered(C), []
+    for s in [k for k in range(30) if k != 3]:
+        kernel.feed(s, *A, clock=s)
+        held.append((s, kernel.next_seq))
+        if s == 22:
+            kernel.advance(22)
+            assert kernel.next_seq == 3
+        if s == 23:
+            kernel.advance(23)
+            assert kernel.next_seq == 24
+    assert dict(held)[23] == 3
+    assert kernel.inner.bad == 1
+    # without the call, the next response's first feature tells that the one before is through
+    other = Reordered(C)
+    for s in [k for k in range(25) if k != 3]:
+        other.feed(s, *A, clock=s)
+    assert (other.next_seq, other.inner.bad) == (25, 1)
+    # its own feature in response 23 is in time, one in response 24 is not
+    for clock, bad in ((23, 0), (24, 1)):
+        late = Reordered(C)
+        for s in [k for k in range(clock + 1) if k != 3]:
+            late.feed(s, *A, clock=s)
+        late.feed(3, *A, clock=clock)
+        assert late.inner.bad == bad
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_a_stream_may_start_anywhere(strict):
+    import time
+
+    start, kernel = 10**9, Reordered(replace(C, strict_block=strict))
+    began = time.perf_counter()
+    points = [A] * 30 + [LONE] + [B] * 3
+    got = [x for k, p in enumerate(points) for x in kernel.feed(start + k, *p, clock=start + k)]
+    assert time.perf_counter() - began < 0.5
+    assert got[0] == (start, 0, -1)
+    assert [x for x in got if x[1]] == [(start + 32, 1, start + 32)]
+
+
+def test_a_long_hole_is_as_many_bad_features():
+    for hole in (1, 99, 100, 101, 102, 350):
+        one, many = InOrder(C), InOrder(C)
+        for s in range(7):
+            one.add(s, (9.0 * s, 0.0))
+            many.add(s, (9.0 * s, 0.0))
+        one.skip(hole, True)
+        for k in range(hole):
+            many.add(7 + k, (None, None), True)
+            many.reset_if_full()
+        assert (one.bad, vars(one.counters), list(one.window.points)) == (many.bad, vars(many.counters), list(many.window.points))
+
+
 A, B, LONE = (0.0, 0.0), (5.0, 0.0), (50.0, 50.0)
 
 
