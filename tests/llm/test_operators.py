@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -213,18 +214,17 @@ def leaked(items, text, config):
         if not (t := plain(t)):
             continue
         if len(t) < config.least_chars:
-            windows = {f" {t} "} if f" {t} " in f" {said} " else set()
+            windows = re.search(rf"(?<![0-9a-z\u0080-\uffff]){re.escape(t)}(?![0-9a-z\u0080-\uffff])", said)
         else:
-            windows = {t[s : s + config.window] for s in decontaminate.window_starts(len(t), config)}
+            windows = [t[a:b] for a, b in decontaminate.window_spans(np.frombuffer(t.encode(), np.uint8), config)]
             windows = {w for w in windows if edits(w, said) <= decontaminate.budget(len(w), config)}
         if windows:
             out.add(item)
     return sorted(out)
 
 
-@pytest.mark.parametrize(("block_chars", "piece", "counted"), [(1 << 20, 50_000, 1 << 21), (300, 125, 50)])
-def test_leaks_are_those_of_full_alignment(spark, monkeypatch, block_chars, piece, counted):
-    monkeypatch.setattr(decontaminate, "PIECE", piece)
+@pytest.mark.parametrize(("block_chars", "counted"), [(1 << 20, 1 << 21), (900, 50)])
+def test_leaks_are_those_of_full_alignment(spark, monkeypatch, block_chars, counted):
     monkeypatch.setattr(decontaminate, "COUNTED", counted)
     rng = random.Random(4)
     say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
@@ -237,7 +237,7 @@ def test_leaks_are_those_of_full_alignment(spark, monkeypatch, block_chars, piec
         part = list(whole[a : rng.choice([len(whole), a + 130])])
         for _ in range(rng.choice([0, 0, 1, 3, 5, 12])):
             part[rng.randrange(len(part))] = rng.choice("xyz")
-        texts.append(say(rng.randint(0, 40)) + " " + ("".join(part) if rng.random() < 0.7 else "") + " " + say(10) + rng.choice(["", " short  one", " shorts one", " ab "]))
+        texts.append(say(rng.randint(0, 40)) + " " + ("".join(part) if rng.random() < 0.7 else "") + " " + say(10) + rng.choice(["", " short  one", " shorts one", " ab ", " (Ab)", "\"short one\"?", " short onez"]))
     texts += [None, "", "ab", preamble, f"{preamble} " * 8, say(10)]
     config = decontaminate.LeakConfig(block_chars=block_chars)
     docs, benchmark = table(spark, texts, list(range(len(texts)))).withColumn("leaked_items", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
@@ -246,7 +246,7 @@ def test_leaks_are_those_of_full_alignment(spark, monkeypatch, block_chars, piec
     want = {k: leaked(items, t, config) for k, t in enumerate(texts)}
     assert sum(map(bool, want.values())) > 10
     assert {r.doc_id: r.leaked_items for r in flagged.collect()} == want
-    index = decontaminate.BenchmarkIndex(items, config)  # in this process, where the small size holds
+    index = decontaminate.BenchmarkIndex(decontaminate.windows_of([x for x in items if x[1]], config), config)  # in this process, where the small size holds
     here = index.find(*decontaminate.normalised(pa.array([t or "" for t in texts])))
     assert here[:, :2].tolist() == [[k, i] for k, x in want.items() for i in x]
     found = decontaminate.find_leaks(docs, benchmark, config).collect()
@@ -261,13 +261,62 @@ def test_a_preamble_of_many_items_costs_no_more_than_its_windows():
     rng = random.Random(1)
     say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     preamble = say(118)
-    index = decontaminate.BenchmarkIndex([(k, preamble + say(200)) for k in range(50)], decontaminate.LeakConfig())
+    config = decontaminate.LeakConfig()
+    index = decontaminate.BenchmarkIndex(decontaminate.windows_of([(k, preamble + say(200)) for k in range(50)], config), config)
     start = time.perf_counter()
     rows = index.find(*decontaminate.normalised(pa.array([preamble * 20])))
     assert time.perf_counter() - start < 5
     assert rows[:, 1].tolist() == list(range(50))
 
 
+def test_near_equal_preambles_are_told_by_what_they_share():
+    rng = random.Random(2)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    preamble, config = say(20), decontaminate.LeakConfig()
+    items = [(k, f"item {k * 7} of the list: {preamble} {say(20)}") for k in range(400)]
+    index = decontaminate.BenchmarkIndex(decontaminate.windows_of(items, config), config)
+    text = decontaminate.normalised(pa.array([f"{preamble} {say(5)} " * 13]))
+    index.find(*text)
+    start = time.perf_counter()
+    rows = index.find(*text)
+    assert time.perf_counter() - start < 1
+    assert rows[:, 1].tolist() == list(range(400))
+
+
+@pytest.mark.parametrize("letters", [(1, 3), (2, 9), (5, 14)])
+def test_passages_of_thirteen_words_and_more_are_found(letters):
+    """Excerpts from anywhere in long items, whatever their words' length, between other text; changed ones as far as edits allow."""
+    rng, config = random.Random(3), decontaminate.LeakConfig()
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(*letters))) for _ in range(n))
+    items = [(k, say(120)) for k in range(20)]
+    index = decontaminate.BenchmarkIndex(decontaminate.windows_of(items, config), config)
+    for words in (13, 16, 20, 25, 50):
+        texts, want = [], []
+        for _ in range(60):
+            item, text = rng.choice(items)
+            at = rng.randint(0, 120 - words)
+            part = " ".join(text.split()[at : at + words])
+            if len(part) >= 46:
+                texts.append(f"{say(30)} {part} {say(30)}")
+                want.append(item)
+        rows = index.find(*decontaminate.normalised(pa.array(texts, pa.string())))
+        assert all([k, i] in rows[:, :2].tolist() for k, i in enumerate(want))
+        assert len(rows) == len(want)
+    clean = index.find(*decontaminate.normalised(pa.array([say(200) for _ in range(50)])))
+    assert not len(clean)
+
+
+def test_leaks_of_several_blocks_keep_ids_and_rows(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    items = [(k, say(30)) for k in range(12)] + [(50, "What is two plus two"), (51, "?!")]
+    texts = [(None, items[3][1], 1), (None, items[3][1], 1), (7, items[5][1] + " ?!", 2), (7, "Q: What is two plus two? A: 4", 3), (8, "(what is two plus two)", 4), (8, "what is two plus twofold", 5), (9, None, 6), (9, "", 7)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, id int")
+    got = decontaminate.flag_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), decontaminate.LeakConfig(block_chars=400))
+    assert got.columns == ["doc_id", "text", "id", "leaked_items"]
+    assert sorted((r.id, r.leaked_items) for r in got.collect()) == [(1, [3]), (1, [3]), (2, [5]), (3, [50]), (4, [50]), (5, []), (6, []), (7, [])]
+
+
 @pytest.mark.parametrize("size", [3, 4096])
 def test_exact_duplicates_of_odd_rows(docs, size):
     got = exact_dedup.exact_duplicates(docs, size).collect()
