@@ -34,9 +34,8 @@ def neighbour_pairs(features: DataFrame, config: DetectorConfig) -> DataFrame:
 
 
 def _touched(features: DataFrame, config: DetectorConfig) -> DataFrame:
-    pairs = neighbour_pairs(features, config)
-    key = ["stream_id", "window_id"]
-    return pairs.select(*key, F.col("a").alias("seq")).unionByName(pairs.select(*key, F.col("b").alias("seq")))
+    """A row for each end of each pair."""
+    return neighbour_pairs(features, config).select("stream_id", "window_id", F.explode(F.array("a", "b")).alias("seq"))
 
 
 def core_points(features: DataFrame, config: DetectorConfig) -> DataFrame:

@@ -103,10 +103,11 @@ def _grown(keyed: DataFrame, config: DetectorConfig, at_end: bool) -> DataFrame:
     """Sums by slot and response: stream_id, seq, arrival, n_samples, vv, cc, vc, held (samples so far), flush_at."""
     slot = Window.partitionBy("stream_id", "seq")
     so_far = slot.orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sums(keyed, "stream_id", "seq", "arrival").withColumn("held", F.sum("n_samples").over(so_far))
+    summed = sums(keyed, "stream_id", "seq", "arrival")
+    rows = summed.withColumn("held", F.sum("n_samples").over(so_far))
     whole = F.min(F.when(F.col("held") == config.samples_per_feature, F.col("arrival"))).over(slot)
     timeout = F.greatest(F.col("seq") + config.late_batches, F.min("arrival").over(slot))
     closed = rows.withColumn("flush_at", F.least(F.coalesce(whole, timeout), timeout))
-    ends = keyed.groupBy("stream_id").agg(F.max("arrival").alias("last"))
+    ends = summed.groupBy("stream_id").agg(F.max("arrival").alias("last"))  # from the sums, so that samples are read once
     joined = closed.join(ends, "stream_id")
     return (joined.withColumn("flush_at", F.least("flush_at", "last")) if at_end else joined.where("flush_at <= last")).drop("last")

@@ -62,6 +62,25 @@ clusters AS (
 stats AS (
   SELECT stream_id, window_id, cluster_id, min(seq) AS u, max(seq) AS v, count(*) AS cnt FROM clusters WHERE cluster_id > 0 GROUP BY ALL),
 good AS (SELECT * FROM stats WHERE 5 * cnt >= v - u + 1)"""
+
+
+def _stream_near(eps: float) -> str:
+    apart = "sqrt((a.ln_p - b.ln_p) * (a.ln_p - b.ln_p) + (a.ln_q - b.ln_q) * (a.ln_q - b.ln_q))"
+    return f"""{_FEATURES},
+pairs AS MATERIALIZED (SELECT a.stream_id, a.seq AS a, b.seq AS b, {apart} AS distance FROM features a JOIN features b ON a.seq < b.seq WHERE {apart} <= {eps})"""
+
+
+_STREAM_CLUSTERS = f"""{_stream_near(EPS / 2)},
+ends AS MATERIALIZED (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs),
+core AS MATERIALIZED (SELECT x AS seq FROM ends GROUP BY x HAVING count(*) + 1 >= 4),
+links AS MATERIALIZED (SELECT x, y FROM ends WHERE x IN (SELECT seq FROM core) AND y IN (SELECT seq FROM core)),
+label(seq, first_core) USING KEY (seq) AS (
+  SELECT seq, seq FROM core
+  UNION
+  SELECT l.x, min(n.first_core) FROM label n JOIN links l ON l.y = n.seq JOIN recurring.label o ON o.seq = l.x
+  WHERE n.first_core < o.first_core GROUP BY l.x),
+border AS (SELECT e.x AS seq, min(n.first_core) AS first_core FROM ends e JOIN label n ON n.seq = e.y WHERE e.x NOT IN (SELECT seq FROM core) GROUP BY e.x),
+told AS (SELECT * FROM label UNION ALL SELECT * FROM border)"""
 _PAIRS = f"""{_CLUSTERS},
 cpairs AS (
   SELECT a.stream_id, a.window_id, a.cluster_id AS c1, a.u AS u1, a.v AS v1, b.cluster_id AS c2, b.u AS u2, b.v AS v2
@@ -269,6 +288,8 @@ ORACLES: dict[str, str] = {
     "features_last_write_wins": _with(_last_write(_DIRTY), f"SELECT stream_id, seq, n_samples, {_SHOWN} FROM features"),
     "features_gap_filled": _with(f"{_DIRTY}, {_KEYED}, {_powers('keyed', 'stream_id, seq', True, _BAD)}", f"SELECT stream_id, seq, n_samples, {_SHOWN}, is_bad FROM features"),
     "feature_quality_flag": _with(f"{_DIRTY}, {_KEYED}", f"SELECT seq, count(*) AS n_samples, count(*) < {GOOD} AS is_bad FROM keyed GROUP BY seq"),
+    "neighbor_pairs_stream": _with(_stream_near(EPS / 4), "SELECT stream_id, a, b, round(distance, 6) AS distance FROM pairs"),
+    "dbscan_stream": _with(_STREAM_CLUSTERS, "SELECT f.stream_id, f.seq, t.first_core FROM features f LEFT JOIN told t ON t.seq = f.seq", True),
     "slot_flush": _with(_FLUSHED, f"SELECT stream_id, seq, flush_at, n_samples, {_SHOWN}, is_bad FROM features"),
     "stragglers": _with(_SLOTS, "SELECT k.arrival, k.pos, k.i, k.seq FROM keyed k JOIN times t ON k.stream_id = t.stream_id AND k.seq = t.seq WHERE k.arrival > t.flush_at"),
     "reorder_frontier": _with(

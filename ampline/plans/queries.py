@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampline.config import FIXTURE as C
 from ampline.functions.scalar import batch_id, event_point, offset_in_batch, result_json
-from ampline.operators import clustering, features, model, order, quality, scoring
+from ampline.operators import clustering, features, grid, model, order, quality, scoring
 from ampline.sources.samples import dirty, event_samples, from_json_batches, meter_samples, to_json_batches, user_samples
 from ampline.streaming.batch import detect_clean, detect_counters, detect_dirty_fill, detect_dirty_reordered
 
@@ -41,6 +42,11 @@ def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.pair_loss(_clusters(spark, sf_dir), C)
 
 
+def _stream_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the whole stream as one window, with border points."""
+    return grid.dbscan_grid(features.clean_features(clean(spark, sf_dir), C), replace(C, min_pts=4, eps=C.eps / 2))
+
+
 def meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meter_samples(spark, sf_dir, C)
 
@@ -87,6 +93,8 @@ QUERIES: dict[str, Query] = {
     "lateness_histogram": lambda s, d: quality.lateness_histogram(disordered(s, d), C),
     "feature_gap_count": lambda s, d: clustering.gap_count(windows(s, d), C),
     "neighbor_pairs": lambda s, d: _rounded(clustering.neighbour_pairs(windows(s, d), C)),
+    "neighbor_pairs_stream": lambda s, d: _rounded(grid.grid_pairs(features.clean_features(clean(s, d), C), replace(C, eps=C.eps / 4))),
+    "dbscan_stream": _stream_clusters,
     "core_points": lambda s, d: clustering.core_points(windows(s, d), C),
     "noise_points": lambda s, d: clustering.noise_points(windows(s, d), C),
     "dbscan_window": _clusters,
