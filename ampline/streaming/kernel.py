@@ -1,4 +1,4 @@
-"""What is sequential within a stream: the event window, re-ordering and early answers, closing of slots.
+"""What is sequential within a stream: the event window, re-ordering and early answers, closing of slots; and all of it for samples.
 
 State is bounded (a window of about a hundred features, a few tens of slots and waiting answers) and can be written
 as JSON, so the same objects serve batch tasks and Structured Streaming state.
@@ -11,6 +11,8 @@ from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from ampline.config import DetectorConfig
 
 Point = tuple[float | None, float | None]
@@ -448,6 +450,18 @@ class Slots:
             slot[3] += current * current
             slot[4] += voltage * current
 
+    def add_many(self, seq: int, voltage: np.ndarray, current: np.ndarray) -> None:
+        """As ``add`` for samples of one batch, in order."""
+        if seq < self.closed_below or seq in self.closed:
+            return
+        slot = self.open.setdefault(seq, [0, 0, 0.0, 0.0, 0.0])
+        n = min(len(voltage), self.config.samples_per_feature - slot[1])
+        v, c = voltage[:n], current[:n]
+        slot[0] += len(voltage)
+        slot[1] += n
+        for k, x in ((2, v * v), (3, c * c), (4, v * c)):
+            slot[k] += float(x.sum())
+
     def close(self, response: int) -> list[tuple[int, float | None, float | None, bool]]:
         c = self.config
         due = [s for s, x in self.open.items() if x[0] == c.samples_per_feature or response - s >= c.late_batches]
@@ -477,3 +491,64 @@ class Slots:
 
 
 KERNELS = {"clean": Clean, "reordered": Reordered}
+
+
+class Machine:
+    """Samples of one stream to answers (emit_ord, s, d, event_s), response by response."""
+
+    def __init__(self, kind: str, config: DetectorConfig):
+        self.kind, self.config = kind, config
+        self.kernel, self.slots, self.emitted, self.response = KERNELS[kind](config), Slots(config), 0, -1
+
+    def _told(self, answers: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        self.emitted += len(answers)
+        return [(self.emitted - len(answers) + k, *x) for k, x in enumerate(answers)]
+
+    def feed(self, arrival: np.ndarray, i: np.ndarray, voltage: np.ndarray, current: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Whole responses, in order of arrival and place (of a clean stream any samples in order)."""
+        seq, out, size = i // self.config.samples_per_feature, [], self.config.samples_per_feature
+        edges = np.flatnonzero(np.diff(arrival, prepend=arrival[0] - 1, append=arrival[-1] + 1)).tolist() if len(arrival) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if self.kind == "reordered":
+                out += self._empty(int(arrival[a]))
+            order = np.argsort(seq[a:b], kind="stable") + a
+            parts = np.split(order, np.flatnonzero(np.diff(seq[order])) + 1)
+            for part in parts:
+                self.slots.add_many(int(seq[part[0]]), voltage[part], current[part])
+            response = self.response = int(arrival[a])
+            if self.kind == "reordered":
+                for x in self.slots.close(response):
+                    out += self.kernel.feed(*x, response)
+                out += self.kernel.advance(response)
+            else:  # a clean batch is closed by its own last sample
+                whole = sorted({int(seq[part[0]]) for part in parts} & {s for s, x in self.slots.open.items() if x[0] == size})
+                for x in self.slots.taken(whole):
+                    out += self.kernel.feed(*x, x[0])
+        return self._told(out)
+
+    def _empty(self, before: int) -> list[tuple[int, int, int]]:
+        """What responses without samples bring that lie between the last one and ``before``: slots whose time is over."""
+        out, late = [], self.config.late_batches
+        while (response := min((s + late for s in self.slots.open), default=before)) < before:
+            for x in self.slots.close(response):
+                out += self.kernel.feed(*x, response)
+            out += self.kernel.advance(response)
+        return out
+
+    def end(self) -> list[tuple[int, int, int, int]]:
+        """As if the stream had ended: open slots of a dirty stream are closed as they are, and what waits is answered."""
+        out = []
+        if self.kind == "reordered":
+            ring = self.config.ring_slots
+            for x in self.slots.taken(sorted(self.slots.open, key=lambda s: (s % ring, s))):
+                out += self.kernel.feed(*x, self.response)
+            out += self.kernel.finish()
+        return self._told(out)
+
+    def state(self) -> dict:
+        return {"kernel": self.kernel.state(), "slots": self.slots.state(), "emitted": self.emitted, "response": self.response}
+
+    def load(self, state: dict) -> None:
+        self.kernel.load(state["kernel"])
+        self.slots.load(state["slots"])
+        self.emitted, self.response = state["emitted"], state["response"]
