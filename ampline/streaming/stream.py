@@ -187,7 +187,7 @@ def event_time_features(samples: DataFrame, config: DetectorConfig, time: str =
     """Features of a stream by event time: stream_id, start, n_samples, ln_p, ln_q, is_bad of each ``every``, filled as gap_filled_features.
 
     A window is told once, when the greatest time seen is ``lateness`` past its end, however many responses that took; what
-    comes later than that is dropped, and counted in the query's progress (``rows_dropped``). Responses that are empty or
+    comes later than that is dropped, and counted in the query's progress (``sums_dropped``). Responses that are empty or
     skewed don't move this clock, which is where it differs from slots that count responses. ``time`` is a timestamp.
     """
     rows = samples.withWatermark(time, lateness).withColumn("during", F.window(time, every))
@@ -196,6 +196,6 @@ def event_time_features(samples: DataFrame, config: DetectorConfig, time: str =
     return told.select("stream_id", F.col("during.start").alias("start"), "n_samples", "ln_p", "ln_q", "is_bad")
 
 
-def rows_dropped(query: StreamingQuery) -> int:
-    """Rows that came after their watermark, over the progress that the query still holds."""
+def sums_dropped(query: StreamingQuery) -> int:
+    """What came after its watermark, over the progress that the query still holds. A sum is what one task of a micro-batch has of one window."""
     return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
