@@ -6,8 +6,9 @@ budget: a source's quota gives whole epochs of all its documents and a part of o
 order of a hash (a fixed permutation of the source) until the quota is met.
 
 The permutation is never sorted as a whole. Its blocks, equal parts of the hash range, are summed; the prefix sums tell
-in which block the quota is met, and only that block is ordered. So each source comes down to two numbers, the epochs
-and a cut-off hash; documents are then drawn without a shuffle, each copy with a place in the mix's permutation.
+in which block the quota is met, and only that block is ordered. So each source comes down to the epochs, a cut-off hash and
+how many of the rows with just that hash are drawn; documents are then drawn without a shuffle, each copy with a place in the
+mix's permutation. Rows that repeat id and text share their hash; where the cut-off falls on them, they are numbered task by task.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def exponent(sources: DataFrame, total: int, config: MixConfig) -> float:
 
 
 def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """A row per source with tokens: mix_source, tokens, weight, quota, epochs, cutoff (null: no part of an epoch)."""
+    """A row per source with tokens: mix_source, tokens, weight, quota, epochs, cutoff (null: no part of an epoch), at_cutoff (rows drawn of those at the cut-off)."""
     return stored_alone(lambda: _plan(docs, config), "mix-plan").df
 
 
@@ -97,7 +98,7 @@ def _plan(docs: DataFrame, config: MixConfig) -> DataFrame:
     sources = Stored(blocks.groupBy("mix_source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "mix-sources").df
     total = sources.agg(F.sum("tokens")).first()[0]
     if not total:
-        return sources.selectExpr("mix_source", "tokens", "0D weight", "0L quota", "0L epochs", "cast(null as long) cutoff")
+        return sources.selectExpr("mix_source", "tokens", "0D weight", "0L quota", "0L epochs", "cast(null as long) cutoff", "0L at_cutoff")
     a = exponent(sources, total, config)
     power = F.pow(F.col("tokens") / F.lit(total), F.lit(a))
     z = sources.agg(F.sum(power)).first()[0]
@@ -110,25 +111,44 @@ def _plan(docs: DataFrame, config: MixConfig) -> DataFrame:
         F.min_by(F.struct("block", (F.col("rest") - F.col("through") + summed.tokens).alias("left")), "block").alias("at")
     )
     last = Stored(met.select("mix_source", "at.block", "at.left"), "mix-last").df
-    inside = light.join(last, ["mix_source", "block"])
-    before = Window.partitionBy("mix_source").orderBy("mix_hash").rangeBetween(Window.unboundedPreceding, -1)
-    cut = inside.withColumn("before", F.coalesce(F.sum("mix_tokens").over(before), F.lit(0))).where("before < left").groupBy("mix_source").agg(F.max("mix_hash").alias("cutoff"))
-    return epochs.join(cut, "mix_source", "left").select("mix_source", "tokens", "weight", "quota", "epochs", "cutoff")
+    # rows of one hash repeat each other and have the same tokens; they are one row here
+    inside = light.join(last, ["mix_source", "block"]).groupBy("mix_source", "left", "mix_hash").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("rows"))
+    before = Window.partitionBy("mix_source").orderBy("mix_hash").rowsBetween(Window.unboundedPreceding, -1)
+    within = inside.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).where("before < left")
+    some = F.expr("least(rows, ((left - before) * rows + tokens - 1) div tokens)")
+    cut = within.where("tokens > 0").groupBy("mix_source").agg(F.max_by(F.struct(F.col("mix_hash").alias("cutoff"), some.alias("at_cutoff")), "mix_hash").alias("at"))
+    return epochs.join(cut, "mix_source", "left").select("mix_source", "tokens", "weight", "quota", "epochs", "at.cutoff", F.coalesce("at.at_cutoff", F.lit(0)).alias("at_cutoff"))
 
 
 #: What ``draw`` adds to each row, and what ``mix`` calls it.
 DRAWN = {"ampline_tokens": "mix_tokens", "ampline_epoch": "mix_epoch", "ampline_block": "mix_block", "ampline_place": "mix_place"}
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ampline_nth, from 1 within ampline_source: by task that stored them, and in a task by their order there."""
+    kept = Stored(rows.withColumn("ampline_nth", F.monotonically_increasing_id()), "mix-ties").df
+    task = F.shiftright("ampline_nth", 33)
+    counts = kept.groupBy("ampline_source", task.alias("ampline_task")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("ampline_source").orderBy("ampline_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("ampline_source").alias("ampline_s"), F.col("ampline_task").alias("ampline_t"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ampline_before"))
+    own = F.row_number().over(Window.partitionBy("ampline_source", task).orderBy("ampline_nth"))
+    ranked = kept.withColumn("ampline_own", own).join(before, (F.col("ampline_source") == F.col("ampline_s")) & (task == F.col("ampline_t")))
+    return ranked.withColumn("ampline_nth", F.col("ampline_before") + F.col("ampline_own")).drop("ampline_s", "ampline_t", "ampline_before", "ampline_own")
+
+
 def draw(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """As ``mix``; what it adds has private names, so that no column of ``docs`` is replaced."""
-    plan = mix_plan(docs, config).select(F.col("mix_source").alias("ampline_of"), "epochs", "cutoff")
+    plan = mix_plan(docs, config).select(F.col("mix_source").alias("ampline_of"), "epochs", "cutoff", "at_cutoff")
     few = plan.count() <= BROADCAST_SOURCES
-    plan = plan.select("ampline_of", F.struct("epochs", "cutoff").alias("ampline_plan"))
+    plan = plan.select("ampline_of", F.struct("epochs", "cutoff", "at_cutoff").alias("ampline_plan"))
     rows = with_tokens(docs, config)
     drawn = rows.join(F.broadcast(plan) if few else plan, F.col("ampline_source") == F.col("ampline_of"))
-    times = F.col("ampline_plan.epochs") + F.when(F.col("ampline_hash") <= F.col("ampline_plan.cutoff"), 1).otherwise(0)
-    copies = drawn.withColumn("ampline_times", times).where("ampline_times > 0").withColumn("ampline_epoch", F.explode(F.expr("sequence(0L, ampline_times - 1)")))
+    at = F.coalesce(F.col("ampline_hash") == F.col("ampline_plan.cutoff"), F.lit(False))
+    once = F.when(F.col("ampline_hash") < F.col("ampline_plan.cutoff"), 1).otherwise(0)
+    held = _numbered(drawn.where(at))
+    tied = held.withColumn("ampline_times", F.col("ampline_plan.epochs") + F.when(F.col("ampline_nth") <= F.col("ampline_plan.at_cutoff"), 1).otherwise(0)).drop("ampline_nth")
+    drawn = drawn.where(~at).withColumn("ampline_times", F.col("ampline_plan.epochs") + once).unionByName(tied)
+    copies = drawn.where("ampline_times > 0").withColumn("ampline_epoch", F.explode(F.expr("sequence(0L, ampline_times - 1)")))
     placed = copies.withColumn("ampline_place", F.xxhash64(F.lit(config.seed + 1), "ampline_hash", "ampline_epoch")).withColumn("ampline_block", _block("ampline_place"))
     return placed.select(*docs.columns, *DRAWN)
 
@@ -137,7 +157,7 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The drawn rows: each row of ``docs`` as often as the plan says, with mix_tokens, mix_epoch, mix_block and mix_place.
 
     mix_block and then mix_place order the mix: every block holds a like share of each source. A source's tokens exceed
-    its quota by less than one document (or one group of repeated rows, which have the same place). Rows of a source
+    its quota by less than one document; rows that repeat each other are drawn one by one. Rows of a source
     without tokens are not drawn. A null source is a source of its own; a null doc_id is an id; an empty table gives no
     rows. Further columns stay; one that is called as one of the four is replaced.
     """

@@ -94,6 +94,20 @@ def test_mix_meets_its_quotas(spark):
     assert max(r.quota / r.tokens for r in plan.values()) <= mixing.MixConfig().repeats + 1e-6
 
 
+def test_rows_that_repeat_are_drawn_one_by_one(spark):
+    """A source of 900 equal rows of 10 tokens, of which a part is wanted, whatever the tasks."""
+    rows = [(1, "w " * 10, "same", k) for k in range(900)] + [(k, "w " * 3, "other", k) for k in range(2, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, before int").repartition(7)
+    config = mixing.MixConfig(entropy=0.999, budget=0.8)
+    plan = {r.mix_source: r for r in mixing.mix_plan(docs, config).collect()}
+    drawn = {r.source: r for r in mixing.mix(docs, config).groupBy("source").agg(F.sum("mix_tokens").alias("n"), F.count("*").alias("rows"), F.countDistinct("before").alias("different")).collect()}
+    same = plan["1same"]
+    assert 0 < same.quota < 9000
+    assert same.quota <= drawn["same"].n < same.quota + 10
+    assert drawn["same"].rows == drawn["same"].different
+    assert plan["1other"].quota <= drawn["other"].n < plan["1other"].quota + 3
+
+
 def best_exponent(tokens, config):
     """The nearest to 1 on a fine grid that reaches the entropy, or the least that keeps the repeat limit if that is greater."""
     share = np.array(tokens, float) / sum(tokens)
@@ -132,12 +146,12 @@ def test_the_mix_is_the_grid_exponents_and_a_plain_sort_draws_it(spark, entropy,
         mine = sorted((hashes[x[:3]], x) for x in rows if x[2] == s)
         epochs, rest = divmod(r.quota, n)
         want += [x for _, x in mine] * epochs
-        taken, cut = 0, None
-        for h, x in mine:
-            if taken >= rest and h != cut:
+        taken = 0
+        for _, x in mine:
+            if taken >= rest:
                 break
             want.append(x)
-            taken, cut = taken + len((x[1] or "").split()), h
+            taken += len((x[1] or "").split())
     drawn = mixing.mix(docs, config)
     assert drawn.columns == ["doc_id", "text", "source", "mix_tokens", "mix_epoch", "mix_block", "mix_place"]
     assert sorted((tuple(r)[:3] for r in drawn.collect()), key=repr) == sorted((x[:3] for x in want), key=repr)
