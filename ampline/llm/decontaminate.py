@@ -36,6 +36,8 @@ from ampline.llm.common import ByteRuns, Stored, longer_runs, n_shuffle, ragged,
 BITMAP_BITS = 22
 #: Pairs of a text's q-gram and a window that are counted at once, and bands that are aligned at once.
 COUNTED, ALIGNED = 1 << 19, 1 << 12
+#: Bytes of text that are searched at once; their hashes take sixteen times as much.
+SEARCHED = 2 << 20
 #: q-grams that every occurrence must share, and the most bits of the bitmap of a benchmark of several blocks (64 MB).
 FEWEST, MOST_BITS, SEGMENT = 5, 29, 20
 #: Letters, digits and bytes beyond ASCII.
@@ -348,7 +350,7 @@ def _find(index) -> Callable:
     names = ["id", "item_id", "start", "end", "edits"]
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SEARCHED):
             rows = index.value.find(*normalised(batch.column("text")))
             if len(rows):
                 yield pa.record_batch([batch.column("id").take(pa.array(rows[:, 0])), *(pa.array(x) for x in rows[:, 1:].T)], names=names)
@@ -358,7 +360,7 @@ def _find(index) -> Callable:
 
 def _flag(index, column: str) -> Callable:
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SEARCHED):
             rows = index.value.find(*normalised(batch.column("text")))
             ends = np.searchsorted(rows[:, 0], np.arange(batch.num_rows + 1))
             items = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rows[:, 1]))
@@ -369,7 +371,7 @@ def _flag(index, column: str) -> Callable:
 
 def _cut(config: LeakConfig) -> Callable:
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SEARCHED):
             found = windows_of(list(zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True)), config)
             yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([w for _, w in found], pa.binary())], names=["item_id", "part"])
 
@@ -462,7 +464,7 @@ def _possible(bitmap, config: LeakConfig) -> Callable:
         return (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SEARCHED):
             data, offsets = normalised(batch.column("text"))
             keep = np.zeros(batch.num_rows, bool)
             at = np.flatnonzero(known(grams(data, config.q)))

@@ -32,7 +32,7 @@ END_ID = 2
 #: Distinct pieces whose ids a task keeps; beyond that it starts afresh, with the same results.
 CACHED_PIECES = 200_000
 #: Bytes of text that are encoded at once.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 4 << 20
 
 #: Words that the tokenizer's normaliser only lower-cases and its splitter cuts only between letters and marks.
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
