@@ -6,12 +6,13 @@ Every stage works on all that its predecessor kept, and its decisions take effec
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampline.llm.common import Stored, small_batches, stored_alone, table
+from ampline.llm.common import Stored, release, small_batches, stored_alone, table
 from ampline.llm.decontaminate import flag_leaks
 from ampline.llm.jaccard_join import JaccardConfig, similar_components
 from ampline.llm.language import fit, with_language, with_letters
@@ -26,6 +27,13 @@ BROADCAST_IDS = 1_000_000
 LEAST_SHARE = 0.5
 
 
+def _ready(spark: SparkSession) -> None:
+    """Small batches for the workers; and the driver lets go of what earlier stages collected or planned."""
+    small_batches(spark)
+    gc.collect()
+    release()
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what is in no language, and fills in a missing ``lang``.
 
@@ -33,7 +41,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     letters. Where ``lang`` is null the predicted language takes its place; a given one stays. With no labelled row to
     learn from no language can be told, and texts with letters stay as they are. All rows of one text fare alike.
     """
-    small_batches(spark)
+    _ready(spark)
     model = fit(docs)
     if model is None:
         return with_letters(docs)
@@ -48,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Groups and decisions are by stored row, so repeated ids and rows without an id are rows like others; an id comes
     before none. Texts of white space and null texts are in no group and stay. An empty table stays empty.
     """
-    small_batches(spark)
+    _ready(spark)
     keyed = Stored(docs.withColumn("ampline_row", F.monotonically_increasing_id()), "keyed").df
     found = similar_components(keyed.select(F.col("ampline_row").alias("doc_id"), "text"), NEAR)
     near = Stored(found.select(F.col("doc_id").alias("ampline_row"), "component_id"), "near")
@@ -63,7 +71,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark; null and empty texts hold none and stay."""
-    small_batches(spark)
+    _ready(spark)
     flagged = flag_leaks(docs, table(spark, sf_dir, "benchmark"), column="ampline_leaks")
     return flagged.where(F.size("ampline_leaks") == 0).select(*docs.columns)
 
@@ -73,12 +81,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source; sources without words are not drawn.
     """
+    _ready(spark)
     return draw(docs).select(*docs.columns)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files, and describes each text from them: doc_id, start, n_tokens, ids_crc32; a row for each row of docs."""
-    small_batches(spark)
+    _ready(spark)
     return token_files(docs)
 
 
