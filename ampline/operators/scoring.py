@@ -27,3 +27,22 @@ def score(results: DataFrame, truth: DataFrame) -> DataFrame:
     return joined.groupBy("stream_id").agg(
         F.count("*").alias("answers"), F.count_if((d == 1) & (t == 0)).alias("false_positives"), F.count_if((d == 0) & (t == 1)).alias("false_negatives"), F.count_if(t.isNull()).alias("unknown")
     )
+
+
+def score_stream(results: DataFrame, truth: DataFrame, time: str = "ts", every: str = "1 minute", lateness: str = "20 seconds") -> DataFrame:
+    """``score`` in flight, of two streams: stream_id, start, answers, false_positives, false_negatives, unknown of each ``every``.
+
+    Results and truth (stream_id, s, truth_d) both carry ``time``, the time of position s, so all answers for a position and
+    its truth have the same. The first answer by emit_ord counts, and of several truths the largest. A window is scored once,
+    when the time of both streams is ``lateness`` past its end; an answer whose truth has not come by then is unknown, and
+    what comes later is dropped and counted in the query's progress. Positions without an answer don't count.
+    """
+    during = F.window(time, every).alias("during")
+    answers = results.withWatermark(time, lateness).groupBy(during, "stream_id", "s").agg(F.min_by("d", "emit_ord").alias("d"))
+    known = truth.withWatermark(time, lateness).groupBy(during, "stream_id", "s").agg(F.max("truth_d").alias("truth_d"))
+    joined = answers.join(known, ["during", "stream_id", "s"], "left")
+    d, t = F.col("d"), F.col("truth_d")
+    scored = joined.groupBy("during", "stream_id").agg(
+        F.count("*").alias("answers"), F.count_if((d == 1) & (t == 0)).alias("false_positives"), F.count_if((d == 0) & (t == 1)).alias("false_negatives"), F.count_if(t.isNull()).alias("unknown")
+    )
+    return scored.select("stream_id", F.col("during.start").alias("start"), "answers", "false_positives", "false_negatives", "unknown")
