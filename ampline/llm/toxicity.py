@@ -171,28 +171,52 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
     return fit_rows(rows["text"].tolist(), rows["toxic"].to_numpy(), (1 / share[0], 1 / share[1]), config)
 
 
+def _runs(text: str, hit: np.ndarray, p: np.ndarray) -> list[list]:
+    """[first and end character offset, largest marginal] of each run of toxic words of a text."""
+    out: list[list] = []
+    span: list | None = None
+    for word, bad, q in zip(re.finditer(r"[^\x20\x09-\x0D]+", text), hit.tolist(), p.tolist(), strict=False):
+        if bad and span:
+            span[1], span[2] = word.end(), max(span[2], q)
+        elif bad:
+            out.append(span := [word.start(), word.end(), q])
+        else:
+            span = None
+    return out
+
+
+_OFFSETS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _score(model) -> Callable:
     def run(batches):
         m: ToxicityModel | None = model.value
         for batch in slices(batches, "text", m.config.slice_bytes if m else 1 << 22):
+            spans: list[list] = [[] for _ in range(batch.num_rows)]
             if m is None:
                 score, many = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             else:
                 offsets, p = m.words(batch.column("text"))
-                score, many = m.score(offsets, p), sums_between((p >= 0.5).astype(np.int64), offsets)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(score), pa.array(many)], names=["doc_id", "score", "n_toxic_words"])
+                hit = p >= 0.5
+                score, many = m.score(offsets, p), sums_between(hit.astype(np.int64), offsets)
+                for r in np.flatnonzero(many).tolist():
+                    mine = slice(offsets[r], offsets[r + 1])
+                    spans[r] = [{"start": a, "end": b} for a, b, _ in _runs(batch.column("text")[r].as_py(), hit[mine], p[mine])]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(score), pa.array(many), pa.array(spans, _OFFSETS)], names=["doc_id", "score", "n_toxic_words", "toxic_spans"])
 
     return run
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """One row per input row: doc_id, score (0 to 1), n_toxic_words.
+    """One row per input row: doc_id, score (0 to 1), n_toxic_words, toxic_spans (first and end character offset of each run of toxic words).
 
-    Null and empty texts get the score of a text without toxic words; all scores are 0 where nothing could be learned.
-    An empty table gives no rows; null ids and repeated rows give a row each; further columns are ignored.
+    Null and empty texts get the score of a text without toxic words, and no span; all scores are 0 and without spans where
+    nothing could be learned. An empty table gives no rows; null ids and repeated rows give a row each; further columns are
+    ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double, n_toxic_words long")
+    schema = "doc_id long, score double, n_toxic_words long, toxic_spans array<struct<start: long, end: long>>"
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_score(shared), schema)
 
 
 def _find(model) -> Callable:
@@ -203,15 +227,8 @@ def _find(model) -> Callable:
             hit = p >= 0.5
             rows = []
             for r in np.flatnonzero(sums_between(hit.astype(np.int64), offsets)).tolist():
-                mine = hit[offsets[r] : offsets[r + 1]]
-                span: list | None = None
-                for word, bad, q in zip(re.finditer(r"[^\x20\x09-\x0D]+", batch.column("text")[r].as_py()), mine, p[offsets[r] :], strict=False):
-                    if bad and span:
-                        span[2], span[3] = word.end(), max(span[3], float(q))
-                    elif bad:
-                        rows.append(span := [batch.column("doc_id")[r].as_py(), word.start(), word.end(), float(q)])
-                    else:
-                        span = None
+                mine, doc_id = slice(offsets[r], offsets[r + 1]), batch.column("doc_id")[r].as_py()
+                rows += [(doc_id, *span) for span in _runs(batch.column("text")[r].as_py(), hit[mine], p[mine])]
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "start", "end", "marginal"])
 
@@ -235,4 +252,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(fold("doc_id", 5) != 0))
     scored = score_toxicity(docs, model)
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic_words")
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic_words", "toxic_spans")

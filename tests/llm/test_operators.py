@@ -204,6 +204,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_toxic_documents_are_found_where_there_are_labels_to_learn_from(spark):
+    """With 352 toxic rows to learn from (of 0.001 and 0.01, 10 and 45: too few to tell words by) most others are found."""
+    sf_dir = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    n = {(r.toxic, r.predicted): r["count"] for r in toxicity.op4_toxicity(spark, sf_dir).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.8 * (n[1, 1] + n.get((1, 0), 0))
+    assert n[1, 1] >= 0.95 * (n[1, 1] + n.get((0, 1), 0))
+
+
 def test_toxicity_of_odd_rows(docs):
     model = toxicity.fit_rows(["you slime"] * 30 + ["fine day"] * 30, [1] * 30 + [0] * 30, (1, 1))
     assert toxicity.score_toxicity(docs, model).count() == len(TEXTS)
@@ -508,6 +517,10 @@ def test_toxic_runs_are_found_in_place(docs, empty):
     rows = docs.sparkSession.createDataFrame([(1, text, 0), (None, "slime", 0), (1, text, 0), (2, None, 0), (3, "", 0), (4, "fine walk", 0)], "doc_id long, text string, start int")
     got = sorted(((r.doc_id, text[r.start : r.end] if r.doc_id else "") for r in toxicity.toxic_spans(rows, model).collect()), key=str)
     assert got == sorted([(1, "slime vermin"), (1, "(slime)")] * 2 + [(None, "")], key=str)
+    scored = toxicity.score_toxicity(rows, model).collect()
+    assert sorted((str(r.doc_id), a, b) for r in scored for a, b in r.toxic_spans) == sorted((str(r.doc_id), r.start, r.end) for r in toxicity.toxic_spans(rows, model).collect())
+    assert all(bool(r.toxic_spans) == (r.n_toxic_words > 0) for r in scored)
+    assert all(r.toxic_spans == [] for r in toxicity.score_toxicity(rows, None).collect())
     assert toxicity.toxic_spans(rows, None).count() == 0
     assert toxicity.toxic_spans(empty, model).count() == 0
 
