@@ -338,6 +338,7 @@ counts AS (
     "early_answer": _with(_EARLY, _EARLY_ANSWER),
     "backward_suffix_check": _with(_SUFFIXES, "SELECT stream_id, window_id, a - 1 AS dropped, found.first AS start, found.last AS \"end\" FROM fitting WHERE a = stop - 1"),
     "detect_clean": _with(_METER_WALK, _ANSWERS, True),
+    "detect_clean_stream": _with(_walk(_FEATURES, True, 1), _ANSWERS, True),
     "detect_clean_users": _with(_USER_WALK, _ANSWERS, True),
     "detect_counters": _with(_METER_WALK, "SELECT stream_id, count(*) AS arrivals, CAST(sum(held) AS BIGINT) AS window_total, CAST(sum(d) AS BIGINT) AS events, CAST(sum(reset) AS BIGINT) AS resets FROM answers GROUP BY stream_id", True),
     "detect_dirty_fill": _with(_FILL_WALK, _ANSWERS, True),

@@ -13,6 +13,7 @@ from ampline.functions.scalar import batch_id, event_point, offset_in_batch, res
 from ampline.operators import clustering, features, grid, model, order, quality, scoring
 from ampline.sources.samples import dirty, event_samples, from_json_batches, meter_samples, to_json_batches, user_samples
 from ampline.streaming.batch import detect_clean, detect_counters, detect_dirty_fill, detect_dirty_reordered
+from ampline.streaming.blocks import detect_in_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLACES = 6
@@ -109,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "event_point": lambda s, d: model.best_pair(_losses(s, d), C).select("window_id", event_point("first_noise", "last_noise").alias("event_s")),
     "backward_suffix_check": lambda s, d: model.backward_suffixes(windows(s, d), C),
     "detect_clean": lambda s, d: detect_clean(meters(s, d), C),
+    "detect_clean_stream": lambda s, d: detect_in_blocks(features.clean_features(clean(s, d), C), C, block=250),
     "detect_clean_users": lambda s, d: detect_clean(user_samples(s, d, C), C),
     "detect_counters": lambda s, d: detect_counters(meters(s, d), C),
     "detect_dirty_fill": lambda s, d: detect_dirty_fill(dirty(meters(s, d)), C),
