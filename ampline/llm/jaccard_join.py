@@ -10,7 +10,7 @@ Documents with the same shingle set form a class, and only classes are joined.
 3. Similar classes are partitioned into groups: each class goes to the leader that it shares most prefix shingles with.
    A group (in blocks of bounded size) keeps the union of its members' shingles. A class opens a cluster of the
    group only if the union holds enough of its shingles to reach the threshold with any member, and is then compared
-   with members until one links.
+   with members until one links. A matrix of shingles by clusters bounds the overlaps with many clusters at once.
 4. What links so far is labelled with its component. In the second round the matrix says which classes share enough
    prefix shingles with a group other than their own; these queries are held against the group's union, and qualifying
    groups are opened. A class with the label of a group's leader needn't ask that group if the group's leader and its
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampline.llm.common import Kept, Stored, n_shuffle, release, slices, stored_alone, table, words_of
+from ampline.llm.common import Kept, Stored, n_shuffle, ragged, release, slices, stored_alone, table, words_of
 from ampline.llm.components import connected_components
 
 #: The sketch: 2 ** SKETCH_BITS counters, merged in slabs of SLAB.
@@ -45,6 +45,8 @@ SKETCH_BITS, SLAB = 20, 1 << 16
 HOT = 12
 #: Members of a group, and queries to it, that one task holds at once.
 BLOCK, ASKS = 256, 1024
+#: Clusters of a block that are held against a set one by one, and entries of a matrix that serves for the others.
+LOOSE, ENTRIES = 16, 2_000_000
 #: Ids up to which the list of rows to fetch is broadcast; a longer list is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -198,10 +200,7 @@ class Cluster:
     """A group of similar sets, and the union of their shingles."""
 
     def __init__(self, name: int, shingles: np.ndarray):
-        self.names, self.sets, self.union = [name], [shingles], shingles
-
-    def may_link(self, shingles: np.ndarray, config: JaccardConfig) -> bool:
-        return _common(shingles, self.union) >= config.least(len(shingles))
+        self.names, self.sets, self.union, self.least = [name], [shingles], shingles, len(shingles)
 
     def first_link(self, shingles: np.ndarray, config: JaccardConfig) -> int | None:
         for name, other in zip(self.names, self.sets, strict=True):
@@ -211,9 +210,94 @@ class Cluster:
         return None
 
     def add(self, name: int, shingles: np.ndarray) -> None:
-        self.names.append(name)
-        self.sets.append(shingles)
-        self.union = np.union1d(self.union, shingles)
+        self._take([name], [shingles], shingles)
+
+    def join(self, other: Cluster) -> None:
+        self._take(other.names, other.sets, other.union)
+
+    def _take(self, names: list[int], sets: list[np.ndarray], union: np.ndarray) -> None:
+        self.names += names
+        self.sets += sets
+        self.union, self.least = np.union1d(self.union, union), min(self.least, *map(len, sets))
+
+
+class Matrix:
+    """Shingles by clusters: how many shingles of a set each cluster's union holds, of all clusters at once.
+
+    A shingle that most clusters hold has the list of those that don't, so what a family of texts has in common costs
+    nothing for each of its clusters.
+    """
+
+    def __init__(self, clusters: list[Cluster]):
+        self.clusters = clusters
+        self.least = np.array([x.least for x in clusters])
+        tokens = np.concatenate([x.union for x in clusters])
+        owner = np.repeat(np.arange(len(clusters), dtype=np.int32), [len(x.union) for x in clusters])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        del order
+        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        self.tokens, count = tokens[first], np.diff(first, append=len(tokens))
+        self.most = 2 * count > len(clusters)
+        lacks = np.ones((int(self.most.sum()), len(clusters)), bool)  # no more than twice the entries
+        row = np.repeat(np.cumsum(self.most) - 1, count)
+        of_most = np.repeat(self.most, count)
+        lacks[row[of_most], owner[of_most]] = False
+        self.count = np.where(self.most, len(clusters) - count, count)
+        self.start = np.cumsum(self.count) - self.count
+        self.listed = np.empty(int(self.count.sum()), np.int32)
+        self.listed[ragged(self.start[self.most], self.count[self.most])] = np.nonzero(lacks)[1]
+        self.listed[ragged(self.start[~self.most], self.count[~self.most])] = owner[~of_most]
+
+    def overlaps(self, shingles: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.tokens, shingles)
+        at[at == len(self.tokens)] = 0
+        at = at[self.tokens[at] == shingles]
+        most = self.most[at]
+        here, gone = (np.bincount(self.listed[ragged(self.start[x], self.count[x])], minlength=len(self.clusters)) for x in (at[~most], at[most]))
+        return int(most.sum()) + here - gone
+
+
+class Clusters:
+    """The clusters of a block. Those that are new or have grown stay out of the matrix until there are LOOSE of them."""
+
+    def __init__(self, config: JaccardConfig):
+        self.config, self.all, self.loose, self.matrices = config, {}, {}, []
+
+    def changed(self, cluster: Cluster) -> None:
+        self.all[id(cluster)] = self.loose[id(cluster)] = cluster
+        if len(self.loose) > LOOSE:
+            self.gather()
+
+    def joined(self, cluster: Cluster, other: Cluster) -> None:
+        del self.all[id(other)]
+        self.loose.pop(id(other), None)
+        cluster.join(other)
+
+    def gather(self) -> None:
+        """All clusters in matrices of about ENTRIES entries."""
+        self.matrices, self.loose, part, size = [], {}, [], 0
+        for x in self.all.values():
+            if part and size + len(x.union) > ENTRIES:
+                self.matrices.append(Matrix(part))
+                part, size = [], 0
+            part.append(x)
+            size += len(x.union)
+        if part:
+            self.matrices.append(Matrix(part))
+
+    def _may_link(self, common, n: int, least):
+        """Whether a set of n may link with a set of at least ``least`` that holds at most ``common`` of it; for one set, whether it does."""
+        return self.config.den * common >= self.config.num * (n + least - common)
+
+    def qualifying(self, shingles: np.ndarray) -> list[Cluster]:
+        """Clusters whose union holds enough of the set for a link with any member."""
+        n, out = len(shingles), [x for x in self.loose.values() if self._may_link(_common(shingles, x.union), len(shingles), x.least)]
+        for m in self.matrices:
+            at = np.flatnonzero(self._may_link(m.overlaps(shingles), n, m.least)).tolist()
+            # what has changed since, or is part of another cluster, is not asked here
+            out += [x for x in (m.clusters[k] for k in at) if id(x) in self.all and id(x) not in self.loose]
+        return out
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -226,29 +310,27 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def _block_edges(names: list[int], sets: list[np.ndarray], asks: list[bool], config: JaccardConfig) -> Iterator[tuple[int, int]]:
     """Links that join what links in this block: among members, and of each query to each cluster of members."""
-    clusters: list[Cluster] = []
+    clusters = Clusters(config)
     for asked in (False, True):
+        if asked and len(clusters.all) > LOOSE:
+            clusters.gather()
         for name, s, ask in zip(names, sets, asks, strict=True):
             if ask != asked:
                 continue
             home = None
-            for k in range(len(clusters) - 1, -1, -1):
-                if not clusters[k].may_link(s, config) or (other := clusters[k].first_link(s, config)) is None:
+            for cluster in clusters.qualifying(s):
+                if (other := cluster.first_link(s, config)) is None:
                     continue
                 yield name, other
                 if asked:
                     continue
                 if home is None:
-                    home = k
-                    clusters[k].add(name, s)
+                    home = cluster
+                    home.add(name, s)
                 else:  # the set joins two clusters
-                    first, second = clusters[home], clusters.pop(k)
-                    first.names += second.names
-                    first.sets += second.sets
-                    first.union = np.union1d(first.union, second.union)
-                    home -= 1
-            if home is None and not asked:
-                clusters.append(Cluster(name, s))
+                    clusters.joined(home, cluster)
+            if not asked:
+                clusters.changed(home or Cluster(name, s))
 
 
 def _edges(config: JaccardConfig) -> Callable:
