@@ -63,11 +63,11 @@ def backward_suffixes(features: DataFrame, config: DetectorConfig) -> DataFrame:
     """The tightened interval of each window with an event.
 
     dropped is the number of oldest features that can go one by one while the rest still fits the model; start and
-    end are the noise interval of the last that does. One grouped pass, a window at a time.
+    end are the noise interval of the last that does. One grouped pass, a window at a time, each sorted by position.
     """
 
     def tighten(rows: pd.DataFrame) -> pd.DataFrame:
-        window = Window(config)
+        rows, window = rows.sort_values("seq"), Window(config)  # a group's rows come in any order
         for seq, p, q in zip(rows["seq"], rows["ln_p"], rows["ln_q"], strict=True):
             window.add(int(seq), clean_point(p, q))
         found = window.interval()
