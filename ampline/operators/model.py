@@ -63,7 +63,8 @@ def backward_suffixes(features: DataFrame, config: DetectorConfig) -> DataFrame:
     """The tightened interval of each window with an event.
 
     dropped is the number of oldest features that can go one by one while the rest still fits the model; start and
-    end are the noise interval of the last that does. One grouped pass, a window at a time, each sorted by position.
+    end are the noise interval of the last that does. One grouped pass, a window at a time, each sorted by position;
+    features without a position are in no window.
     """
 
     def tighten(rows: pd.DataFrame) -> pd.DataFrame:
@@ -77,4 +78,5 @@ def backward_suffixes(features: DataFrame, config: DetectorConfig) -> DataFrame:
             out.append((*(int(rows[k].iloc[0]) for k in WINDOW), dropped, start, end))
         return pd.DataFrame(out, columns=[*WINDOW, "dropped", "start", "end"])
 
-    return features.select(*WINDOW, "seq", "ln_p", "ln_q").groupBy(*WINDOW).applyInPandas(tighten, "stream_id long, window_id long, dropped long, start long, end long")
+    placed = features.select(*WINDOW, "seq", "ln_p", "ln_q").dropna(subset=[*WINDOW, "seq"])
+    return placed.groupBy(*WINDOW).applyInPandas(tighten, "stream_id long, window_id long, dropped long, start long, end long")
